@@ -18,14 +18,16 @@ FORWARD_WINDOWS = (5, 10, 15, 20)
 def symbol_features(eod: DataFrame, strict_ready: bool = False) -> DataFrame:
     """Features of every symbol at once.
 
-    All windows share ``(exchange, code) ordered by date``: one shuffle and one sort for
-    the lot. ``normalize_eod`` has left one row per trading day, so a window partition is
+    All windows share ``(exchange, symbol) ordered by date``: one shuffle and one sort for
+    the lot, and a later join by (exchange, symbol) finds the rows already in place.
+    ``normalize_eod`` has left one row per trading day, so a window partition is
     bounded by the calendar however many raw rows a symbol has. While MA20 is not ready
     ``above_ma20`` is false, or null with ``strict_ready``.
     """
-    w = W.partitionBy("exchange", "code").orderBy("date")
+    w = W.partitionBy("exchange", "symbol").orderBy("date")
     close = F.col("close")
-    out = normalize_eod(eod).withColumns(
+    named = eod.withColumns({"exchange": F.upper("exchange"), "symbol": F.upper("code")})
+    out = normalize_eod(named, keys=("exchange", "symbol")).withColumns(
         {
             "ma20": gated_avg("close", w, 20),
             "_volume_ma20": gated_avg("volume", w, 20),
@@ -42,9 +44,9 @@ def symbol_features(eod: DataFrame, strict_ready: bool = False) -> DataFrame:
     above = close > F.col("ma20")
     return out.select(
         "date",
-        join_symbol_key(F.col("exchange"), F.col("code")).alias("symbol_key"),
-        F.upper("exchange").alias("exchange"),
-        F.upper("code").alias("symbol"),
+        join_symbol_key(F.col("exchange"), F.col("symbol")).alias("symbol_key"),
+        "exchange",
+        "symbol",
         "close",
         "volume",
         *[f"return_{n}d" for n in RETURN_WINDOWS],

@@ -12,7 +12,7 @@ from marketlake.functions.numeric import nan_to_null, to_double
 from marketlake.functions.text import blank_to_null, snake_case
 
 __all__ = [
-    "clean_value", "eod_merge_keep_first", "merge_keep_last", "normalize_columns",
+    "clean_value", "eod_merge_keep_first", "fetch_size", "merge_keep_last", "normalize_columns",
     "normalize_eod", "prepare_eod", "upgrade_predictions", "with_indicator_source_check",
 ]
 
@@ -118,4 +118,4 @@ def upgrade_predictions(df: DataFrame) -> DataFrame:
 def fetch_size(from_day: Column, to_day: date) -> Column:
     """Rows to ask a provider for: the day span, at least 1; 10 000 without a known offset."""
     span = F.greatest(F.datediff(F.lit(to_day), from_day) + 1, F.lit(1))
-    return F.coalesce(span, F.lit(10000)).cast("bigint")
+    return F.when(from_day.isNull(), 10000).otherwise(span).cast("bigint")

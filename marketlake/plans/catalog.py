@@ -1,6 +1,6 @@
 """All registered queries; importing a module registers what it defines."""
 
-from marketlake.plans import market_queries, signal_queries, transition_queries  # noqa: F401
+from marketlake.plans import market_queries, signal_queries, symbol_queries, transition_queries  # noqa: F401
 from marketlake.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -7,19 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from marketlake.operators import features, rotation, sectors
 from marketlake.sources import fixtures
 
-__all__ = ["LEVELS", "keyed_eod", "sector_rotation", "sector_series", "symbol_feature_table"]
+__all__ = ["LEVELS", "sector_rotation", "sector_series", "symbol_feature_table"]
 
 LEVELS = {1: "sectorlv1code", 2: "sectorlv2code"}
 
 
-def keyed_eod(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars with the exchange of their symbol."""
-    listed = fixtures.symbols(spark, sf_dir).select("code", "exchange")
-    return fixtures.eod(spark, sf_dir).join(listed, "code")
-
-
 def symbol_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.symbol_features(keyed_eod(spark, sf_dir))
+    return features.symbol_features(fixtures.eod(spark, sf_dir))
 
 
 def sector_series(spark: SparkSession, sf_dir: str, market: DataFrame | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from marketlake.operators import normalize, rotation, sectors
 from marketlake.operators.features import FORWARD_WINDOWS, RETURN_WINDOWS
 from marketlake.plans.ctes import define, with_ctes
 from marketlake.plans.daily import (
-    LEVELS, keyed_eod, sector_rotation, sector_series, symbol_feature_table,
+    LEVELS, sector_rotation, sector_series, symbol_feature_table,
 )
 from marketlake.plans.registry import big, query, rnd, rounded
 from marketlake.sources import fixtures
@@ -25,7 +25,7 @@ _SECTOR_KEYS_SQL = "sector_level::bigint AS sector_level, sector_code, date"
 SELECT code, date, ad_open, ad_high, ad_low, ad_close, nm_volume, n_trades FROM eod
 WHERE date >= DATE '1998-01-01'""", "eod"))
 def scan_eod(spark, sf_dir):
-    return fixtures.eod(spark, sf_dir).where("date >= date'1998-01-01'")
+    return fixtures.eod(spark, sf_dir).where("date >= date'1998-01-01'").drop("exchange")
 
 
 @query("prepare_eod", with_ctes("""
@@ -53,7 +53,7 @@ SELECT code, date, "close", volume FROM (
   WHERE p IS NOT NULL) WHERE rn = 1""", "eod"))
 def normalize_eod(spark, sf_dir):
     """Same two deliveries: here a null close is dropped before the last duplicate is chosen."""
-    bars = fixtures.eod(spark, sf_dir)
+    bars = fixtures.eod(spark, sf_dir).drop("exchange")
     bad = F.when(F.col("n_trades") >= 3, F.lit(float("nan"))).otherwise(F.col("ad_close") + 1)
     both = bars.withColumn("_seq", F.lit(0)).unionByName(
         bars.where("n_trades > 1").withColumns({"ad_close": bad, "_seq": F.lit(1)})

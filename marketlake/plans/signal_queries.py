@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, functions as F
 from marketlake.functions.text import join_symbol_key
 from marketlake.operators import history, indicators, signals
 from marketlake.plans.ctes import define, with_ctes
-from marketlake.plans.daily import keyed_eod
 from marketlake.plans.registry import big, query, rnd, rounded
 from marketlake.sources import fixtures
 
@@ -18,7 +17,7 @@ _KEY = ("symbol_key",)
 
 
 def symbol_eod(spark, sf_dir: str) -> DataFrame:
-    return keyed_eod(spark, sf_dir).withColumn("symbol_key", join_symbol_key(F.col("exchange"), F.col("code")))
+    return fixtures.eod(spark, sf_dir).withColumn("symbol_key", join_symbol_key(F.col("exchange"), F.col("code")))
 
 
 def indicator_table(spark, sf_dir: str, *names: str) -> DataFrame:

@@ -37,20 +37,33 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _exchange(suppkey: str) -> Column:
+    slot = F.col(suppkey) % 3
+    return F.when(slot == 0, "HOSE").when(slot == 1, "HNX").otherwise("UPCOM")
+
+
 def eod(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One daily bar per symbol; the first and last trade are found by min/max of the
-    trade order, so the daily reduction starts on the map side."""
-    seq = F.struct("l_orderkey", "l_linenumber", "l_partkey", "cents")
-    bars = trades(spark, sf_dir).groupBy("code", "date").agg(
-        F.min(seq)["cents"].alias("first_cents"),
+    """One daily bar per symbol.
+
+    The first and last trade are found by min/max of the trade order, so the reduction to
+    days starts on the map side; it runs on the numeric key and names follow after it.
+    """
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    rows = load(spark, sf_dir, "lineitem").select(
+        "l_suppkey", F.col("l_shipdate").cast("date").alias("date"), _price(cents).alias("price"),
+        F.col("l_quantity").alias("qty"), F.struct("l_orderkey", "l_linenumber", "l_partkey", cents.alias("cents")).alias("seq"),
+    )
+    bars = rows.groupBy("l_suppkey", "date").agg(
+        F.min("seq")["cents"].alias("first_cents"),
         F.max("price").alias("ad_high"),
         F.min("price").alias("ad_low"),
-        F.max(seq)["cents"].alias("last_cents"),
+        F.max("seq")["cents"].alias("last_cents"),
         F.sum("qty").alias("nm_volume"),
         F.count("*").alias("n_trades"),
     )
     return bars.select(
-        "code", "date", _price(F.col("first_cents")).alias("ad_open"), "ad_high", "ad_low",
+        _exchange("l_suppkey").alias("exchange"), _symbol_code("l_suppkey").alias("code"), "date",
+        _price(F.col("first_cents")).alias("ad_open"), "ad_high", "ad_low",
         _price(F.col("last_cents")).alias("ad_close"), "nm_volume", "n_trades",
     )
 
@@ -58,13 +71,12 @@ def eod(spark: SparkSession, sf_dir: str) -> DataFrame:
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = load(spark, sf_dir, "supplier")
     nation, region = load(spark, sf_dir, "nation"), load(spark, sf_dir, "region")
-    slot = F.col("s_suppkey") % 3
     return (
         supplier.join(nation, supplier.s_nationkey == nation.n_nationkey)
         .join(region, nation.n_regionkey == region.r_regionkey)
         .select(
             _symbol_code("s_suppkey").alias("code"),
-            F.when(slot == 0, "HOSE").when(slot == 1, "HNX").otherwise("UPCOM").alias("exchange"),
+            _exchange("s_suppkey").alias("exchange"),
             F.upper(F.replace("r_name", F.lit(" "), F.lit("_"))).alias("sectorlv1code"),
             F.upper(F.replace("n_name", F.lit(" "), F.lit("_"))).alias("sectorlv2code"),
             (F.col("s_acctbal") >= 0).alias("is_active"),
