@@ -61,7 +61,7 @@ def with_rsi(df: DataFrame, source: str, keys: Sequence[str] = ("code",), length
             "_loss": (F.greatest(-F.col("_chg"), F.lit(0.0)), decay),
         },
     )
-    rsi = safe_div(F.col("_gain") * 100.0, F.col("_gain") + F.col("_loss"))
+    rsi = safe_div("_gain", F.col("_gain") + F.col("_loss")) * 100.0
     return out.withColumn(f"rsi{length}", F.when(F.col("_i") >= length, rsi)).drop(
         "_i", "_chg", "_gain", "_loss"
     )
