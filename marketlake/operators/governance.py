@@ -155,9 +155,9 @@ def manifest_violations(manifests: DataFrame) -> DataFrame:
         (F.coalesce(F.trim("generatedAt") == "", F.lit(True)), "GENERATED_AT"),
         (negative, "NEGATIVE_COUNT"),
         (F.col("columns").isNull() | (F.col("columnCount") != F.size("columns")), "COLUMN_COUNT"),
-        (bad_column, "COLUMN"),
+        (F.coalesce(bad_column, F.lit(False)), "COLUMN"),
         (F.col("inputs").isNull(), "INPUTS_REQUIRED"),
-        (bad_input, "INPUT"),
+        (F.coalesce(bad_input, F.lit(False)), "INPUT"),
         (ready & (F.col("objectCount") < 1), "READY_OBJECT_COUNT"),
         (ready & not_sha(F.col("dataVersion")), "READY_DATA_VERSION"),
         (ready & not_sha(F.col("schemaHash")), "READY_SCHEMA_HASH"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime
@@ -160,6 +161,14 @@ def read_manifests(spark: SparkSession, root: str, dataset: str) -> DataFrame:
     return spark.read.schema(MANIFEST).json(_manifest_path(root, dataset))
 
 
+def _nullable(schema: StructType) -> StructType:
+    """The same schema with every field, element and value nullable, as files give it back."""
+    text = schema.json()
+    for key in ("nullable", "containsNull", "valueContainsNull"):
+        text = text.replace(f'"{key}":false', f'"{key}":true')
+    return StructType.fromJson(json.loads(text))
+
+
 class VersionedTable:
     """A table rewritten per version; version ``n`` is built from the newest one below ``n``.
 
@@ -168,7 +177,7 @@ class VersionedTable:
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: StructType) -> None:
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), _nullable(schema)
 
     def _versions(self) -> list[int]:
         fs, hadoop_path = _fs(self.spark, self.path)
