@@ -12,7 +12,8 @@ from marketlake.schemas import SIGNAL_HISTORY
 
 __all__ = [
     "OUTCOME_WINDOWS", "SIGNAL_KEY", "canonical_order", "conform_history", "current_signals",
-    "fill_outcomes", "history_violations", "missing_eod_symbols", "outcome_summary", "signal_transitions", "upsert_signals",
+    "fill_outcomes", "history_violations", "missing_eod_symbols", "outcome_summary",
+    "resolved_outcomes", "signal_transitions", "upsert_signals",
 ]
 
 # Key columns, outcome horizons in sessions and the accepted signals.
@@ -114,50 +115,48 @@ def current_signals(history: DataFrame) -> DataFrame:
     return keep_last(history, ["symbol_key"], ["signal_date"])
 
 
-def _future_prices(history: DataFrame, eod: DataFrame, order: list[str]) -> DataFrame:
-    """The n-th session after each session date, n in the outcome windows.
+def _window_open() -> Column:
+    """True when any outcome window of a row lacks its price or its return."""
+    out = F.lit(False)
+    for n in OUTCOME_WINDOWS:
+        out = out | F.col(f"actual_price_t{n}").isNull() | F.col(f"actual_return_t{n}").isNull()
+    return out
 
-    Signal dates are placed among the symbol's sessions by one union and one pass over
-    (symbol, date): a signal date needs not be a session itself. No range join.
+
+def _beside_sessions(history: DataFrame, eod: DataFrame, order: list[str]) -> DataFrame:
+    """History rows with the close of the n-th session after their date, n in the outcome windows.
+
+    History and prices are stacked and walked once per symbol: a history row learns the
+    number of the last session up to its date (which need not be a session itself), and a
+    range over session numbers finds session + n. One shuffle, no join, no pairs.
     """
     prices = eod.select(
-        "symbol_key", F.col("date").try_cast("date").alias("date"),
-        nan_to_null(F.col("ad_close").try_cast("double")).alias("ad_close"), *order,
-    ).dropna(subset=["date", "ad_close"])
-    prices = keep_last(prices, ["symbol_key", "date"], order) if order else prices
-    dates = history.select("symbol_key", F.col("signal_date").alias("date")).distinct()
-    marks = prices.select("symbol_key", "date", "ad_close").unionByName(
-        dates.withColumn("ad_close", F.lit(None).cast("double"))
-    )
-    # one row per (symbol, date): price of the session, and whether a signal asks for this date
-    days = marks.groupBy("symbol_key", "date").agg(F.max("ad_close").alias("ad_close"))
-    by_date = W.partitionBy("symbol_key").orderBy("date")
-    placed = days.withColumn(
-        "_session", F.count("ad_close").over(by_date.rowsBetween(W.unboundedPreceding, 0))
-    )
+        "symbol_key", F.col("date").try_cast("date").alias("_day"),
+        nan_to_null(F.col("ad_close").try_cast("double")).alias("_close"), *order,
+    ).dropna(subset=["_day", "_close"])
+    prices = keep_last(prices, ["symbol_key", "_day"], order).drop(*order) if order else prices
+    rows = history.select("symbol_key", F.col("signal_date").alias("_day"), F.struct(*history.columns).alias("_row"))
+    stacked = prices.unionByName(rows, allowMissingColumns=True)
+    by_day = W.partitionBy("symbol_key").orderBy("_day").rangeBetween(W.unboundedPreceding, 0)
+    placed = stacked.withColumn("_session", F.count("_close").over(by_day))
     by_session = W.partitionBy("symbol_key").orderBy("_session")
-    # rows without a price share the session number of the last priced row, so a range over
-    # the number is needed; max ignores the nulls in it.
-    ahead = {
-        f"_p{n}": F.max("ad_close").over(by_session.rangeBetween(n, n)) for n in OUTCOME_WINDOWS
-    }
-    return placed.withColumns(ahead).select(
-        "symbol_key", F.col("date").alias("signal_date"), *[f"_p{n}" for n in OUTCOME_WINDOWS]
+    ahead = {f"_p{n}": F.max("_close").over(by_session.rangeBetween(n, n)) for n in OUTCOME_WINDOWS}
+    whole = by_session.rangeBetween(W.unboundedPreceding, W.unboundedFollowing)
+    return (
+        placed.withColumns({**ahead, "_has_eod": F.count("_close").over(whole) > 0})
+        .where("_row is not null")
+        .select("_row.*", "_has_eod", *ahead)
     )
 
 
-def fill_outcomes(
+def resolved_outcomes(
     history: DataFrame, eod: DataFrame, now: datetime, order: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Fill the missing outcome windows from the sessions after each signal.
-
-    Signal fields are never touched; a window already filled stays; a null or zero signal
-    price, a NO_DECISION row and a symbol without EOD rows are left as they are.
-    """
-    history = conform_history(history)
-    out = history.join(_future_prices(history, eod, list(order)), ["symbol_key", "signal_date"], "left")
+    """``fill_outcomes`` with two more columns per row: ``outcome_updated`` and ``eod_missing``."""
+    out = _beside_sessions(conform_history(history), eod, list(order))
     base = F.col("signal_price")
-    usable = (F.col("signal") != "NO_DECISION") & base.isNotNull() & (base != 0)
+    deciding = F.col("signal") != "NO_DECISION"
+    usable = deciding & base.isNotNull() & (base != 0)
     values, touched = {}, F.lit(False)
     for n in OUTCOME_WINDOWS:
         price, ret, found = f"actual_price_t{n}", f"actual_return_t{n}", F.col(f"_p{n}")
@@ -168,42 +167,39 @@ def fill_outcomes(
         values[price] = F.when(due, found).otherwise(F.col(price))
         values[ret] = F.when(due, safe_div(found - base, base)).otherwise(F.col(ret))
     values["actual_updated_at"] = F.when(touched, F.lit(now)).otherwise(F.col("actual_updated_at"))
-    return out.withColumns(values).select(*[f.name for f in SIGNAL_HISTORY.fields])
+    values["outcome_updated"] = touched
+    values["eod_missing"] = deciding & _window_open() & ~F.col("_has_eod")
+    return out.withColumns(values).select(
+        *[f.name for f in SIGNAL_HISTORY.fields], "outcome_updated", "eod_missing"
+    )
 
 
-def _window_open(alias: str = "") -> Column:
-    """True when any outcome window of a row lacks its price or its return."""
-    prefix = f"{alias}." if alias else ""
-    out = F.lit(False)
-    for n in OUTCOME_WINDOWS:
-        out = out | F.col(f"{prefix}actual_price_t{n}").isNull() | F.col(f"{prefix}actual_return_t{n}").isNull()
-    return out
+def fill_outcomes(
+    history: DataFrame, eod: DataFrame, now: datetime, order: tuple[str, ...] = (),
+) -> DataFrame:
+    """Fill the missing outcome windows from the sessions after each signal.
 
+    Signal fields are never touched; a window already filled stays; a null or zero signal
+    price, a NO_DECISION row and a symbol without EOD rows are left as they are.
+    """
+    return resolved_outcomes(history, eod, now, order).drop("outcome_updated", "eod_missing")
 
-def missing_eod_symbols(history: DataFrame, eod: DataFrame) -> DataFrame:
+
+def missing_eod_symbols(resolved: DataFrame) -> DataFrame:
     """Symbols that still need outcomes but have no EOD rows, as rows: the list may grow
     with the universe."""
-    due = history.where((F.col("signal") != "NO_DECISION") & _window_open()).select("symbol_key").distinct()
-    return due.join(eod.select("symbol_key").distinct(), "symbol_key", "left_anti")
+    return resolved.where("eod_missing").select("symbol_key").distinct()
 
 
-def outcome_summary(before: DataFrame, after: DataFrame, eod: DataFrame) -> DataFrame:
+def outcome_summary(resolved: DataFrame) -> DataFrame:
     """One row: records scanned, records updated, number of symbols without EOD rows."""
-    filled = F.lit(False)
-    for n in OUTCOME_WINDOWS:
-        was = F.col(f"b.actual_price_t{n}").isNull() | F.col(f"b.actual_return_t{n}").isNull()
-        filled = filled | (was & F.col(f"a.actual_price_t{n}").isNotNull())
-    counts = before.alias("b").join(after.alias("a"), SIGNAL_KEY).select(
-        F.lit(1).alias("scanned"), filled.cast("int").alias("updated"), F.lit(0).alias("missing")
-    )
-    missing = missing_eod_symbols(before, eod).select(
-        F.lit(0).alias("scanned"), F.lit(0).alias("updated"), F.lit(1).alias("missing")
+    per_symbol = resolved.groupBy("symbol_key").agg(
+        F.count("*").alias("n"), F.count(F.when(F.col("outcome_updated"), 1)).alias("updated"),
+        F.max(F.col("eod_missing").cast("int")).alias("missing"),
     )
-    return counts.unionByName(missing).agg(
+    return per_symbol.agg(
         *[
             F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(name)
-            for c, name in (
-                ("scanned", "records_scanned"), ("updated", "records_updated"), ("missing", "missing_eod_count"),
-            )
+            for c, name in (("n", "records_scanned"), ("updated", "records_updated"), ("missing", "missing_eod_count"))
         ]
     )

@@ -138,12 +138,13 @@ def with_ichimoku(
 
 def indicators(
     eod: DataFrame, requested: Sequence[str], source: str = "ad_close", keys: Sequence[str] = ("code",),
-    calculated_at: datetime | None = None,
+    calculated_at: datetime | None = None, keep: Sequence[str] = (),
 ) -> DataFrame:
     """The requested indicators for every series, one row per prepared bar.
 
     Everything is computed on one partitioning by series key and Spark prunes what the
-    request leaves out. ``calculated_at`` adds the usual ``*_calculated_at`` columns.
+    request leaves out. ``calculated_at`` adds the usual ``*_calculated_at`` columns;
+    ``keep`` carries bar columns along, which saves a later join with the same bars.
     """
     names = [n.upper() for n in requested]
     unknown = sorted(set(names) - set(INDICATOR_COLUMNS))
@@ -159,7 +160,7 @@ def indicators(
             out = with_macd(out, source, keys)
         else:
             out = with_ichimoku(out, source, keys)
-    columns = list(keys) + ["date"]
+    columns = [*keys, "date", *keep]
     for name in dict.fromkeys(names):
         columns += INDICATOR_COLUMNS[name]
         if calculated_at is not None:

@@ -48,16 +48,15 @@ def with_forward_sector_returns(sectors: DataFrame) -> DataFrame:
     """Compounded return of the next w sessions of the level's calendar.
 
     The calendar is the union of dates over all sectors of a level; a sector that misses
-    one of the w sessions, or has a null return on it, gets null. Sessions are numbered
-    once on the distinct dates and the frame is a range over that number, so no pair of
-    rows is ever joined.
+    one of the w sessions, or has a null return on it, gets null. Sessions are numbered by
+    a dense rank over the level's dates and the frame is a range over that number: one pass
+    over the sector rows, no calendar join and no pair of rows. A level holds one row per
+    sector and trading day.
     """
-    calendar = sectors.select("sector_level", "date").distinct().withColumn(
-        "_session", F.row_number().over(W.partitionBy("sector_level").orderBy("date"))
-    )
+    sessions = W.partitionBy("sector_level").orderBy("date")
     w = W.partitionBy("sector_level", "sector_code").orderBy("_session")
     return (
-        sectors.join(calendar, ["sector_level", "date"])
+        sectors.withColumn("_session", F.dense_rank().over(sessions))
         .withColumns(
             {f"forward_return_t{n}": compounded("sector_return", w.rangeBetween(1, n), n) for n in FORWARD_WINDOWS}
         )

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from marketlake.functions.keyed import keep_last
 
-__all__ = ["STRATEGY", "latest_signals", "missing_column_reasons", "reason_codes", "score", "scored_history"]
+__all__ = [
+    "STRATEGY", "deciding_changes", "latest_only", "latest_signals", "missing_column_reasons", "reason_codes", "score", "score_rows",
+    "scored_history",
+]
 
 # The strategy name, its thresholds and its inputs.
 STRATEGY = "TREND_MOMENTUM_V1"
@@ -83,8 +86,13 @@ def _scored(rows: DataFrame, key: str) -> DataFrame:
     )
 
 
+def score_rows(rows: DataFrame, key: str = "symbol_key") -> DataFrame:
+    """The rule on rows that carry close and indicators side by side (no join needed)."""
+    return _scored(rows.select(key, *EOD_COLUMNS, *INDICATOR_COLUMNS[1:]), key)
+
+
 def scored_history(eod: DataFrame, indicators: DataFrame, key: str = "symbol_key") -> DataFrame:
-    """The rule on every date both inputs share."""
+    """The rule on every date two stored inputs share."""
     joined = eod.select(key, *EOD_COLUMNS).join(indicators.select(key, *INDICATOR_COLUMNS), [key, "date"])
     return _scored(joined, key)
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marketlake.operators import features, rotation, sectors
+from marketlake.session import cut_lineage
 from marketlake.sources import fixtures
 
-__all__ = ["LEVELS", "sector_rotation", "sector_series", "symbol_feature_table"]
+__all__ = ["LEVELS", "sector_rotation", "sector_series", "sector_table", "symbol_feature_table"]
 
 LEVELS = {1: "sectorlv1code", 2: "sectorlv2code"}
 
@@ -24,6 +25,14 @@ def sector_series(spark: SparkSession, sf_dir: str, market: DataFrame | None = N
     return sectors.with_relative_strength(sectors.sector_index(daily), market)
 
 
+def sector_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sector series written to the checkpoint folder, for plans that read it several times.
+
+    It holds one row per sector and trading day, whatever the size of the bars.
+    """
+    return cut_lineage(sector_series(spark, sf_dir))
+
+
 def sector_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which sector led each day, and what did it return over the next 5/10/15/20 sessions?"""
     return rotation.rotation_backtest(sector_series(spark, sf_dir))

@@ -25,10 +25,11 @@ def indicator_table(spark, sf_dir: str, *names: str) -> DataFrame:
 
 
 def scored(spark, sf_dir: str) -> DataFrame:
-    """Signal of every symbol on every date, as history rows."""
-    eod = symbol_eod(spark, sf_dir)
-    table = indicators.indicators(eod, ["MA20", "MA50", "RSI14", "MACD"], keys=_KEY)
-    return signals.scored_history(eod, table).withColumns(
+    """Signal of every symbol on every date, as history rows; bars and indicators stay in one pass."""
+    table = indicators.indicators(
+        symbol_eod(spark, sf_dir), ["MA20", "MA50", "RSI14", "MACD"], keys=_KEY, keep=["ad_close"]
+    )
+    return signals.score_rows(table).withColumns(
         {
             "exchange": F.substring_index("symbol_key", "-", 1), "strategy": F.lit(signals.STRATEGY),
             "timeframe": F.lit("1d"), "revision": F.lit(1),
@@ -124,6 +125,7 @@ define("latest", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sym
 @query("signal_latest", with_ctes("""
 SELECT symbol_key, signal_date, signal, signal_price, score::bigint score, reasons FROM latest""", "latest"))
 def signal_latest(spark, sf_dir):
+    """The join of the two datasets, as when both are stored."""
     eod = symbol_eod(spark, sf_dir)
     table = indicators.indicators(eod, ["MA20", "MA50", "RSI14", "MACD"], keys=_KEY)
     return signals.latest_signals(eod, table).select(
@@ -226,9 +228,15 @@ SELECT count(*)::bigint records_scanned, count(p5)::bigint records_updated,
   count(DISTINCT CASE WHEN d.symbol_key LIKE 'UPCOM-%' THEN d.symbol_key END)::bigint missing_eod_count
 FROM deciding d LEFT JOIN placed p ON p.symbol_key = d.symbol_key AND p.date = d.signal_date""", "deciding", "placed"))
 def outcome_summary(spark, sf_dir):
-    before = history.conform_history(scored(spark, sf_dir).where("signal <> 'NO_DECISION'"))
-    eod = _listed_eod(spark, sf_dir)
-    return history.outcome_summary(before, history.fill_outcomes(before, eod, NOW), eod)
+    deciding = scored(spark, sf_dir).where("signal <> 'NO_DECISION'")
+    return history.outcome_summary(history.resolved_outcomes(deciding, _listed_eod(spark, sf_dir), NOW))
+
+
+@query("missing_eod_symbols", with_ctes("""
+SELECT DISTINCT symbol_key FROM deciding WHERE symbol_key LIKE 'UPCOM-%'""", "deciding"))
+def missing_eod_symbols(spark, sf_dir):
+    deciding = scored(spark, sf_dir).where("signal <> 'NO_DECISION'")
+    return history.missing_eod_symbols(history.resolved_outcomes(deciding, _listed_eod(spark, sf_dir), NOW))
 
 
 @query("signal_current", with_ctes("""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from marketlake.operators import transition as tr
 from marketlake.plans.ctes import define, with_ctes
-from marketlake.plans.daily import sector_series
+from marketlake.plans.daily import sector_series, sector_table
 from marketlake.plans.registry import big, query, rnd, rounded
 
 REQUEST = tr.TransitionRequest(
@@ -109,7 +109,7 @@ SELECT h::bigint horizon_sessions, from_sector, to_sector, round(current_relativ
   round(current_sector_return, 6) current_sector_return, round(predicted_return, 6) predicted_return,
   round(probability, 6) transition_probability, sample_count::bigint sample_count, generated_from_date FROM pred""", "pred"))
 def transition_predictions(spark, sf_dir):
-    return tr.analyze(sector_series(spark, sf_dir), REQUEST).predictions.select(
+    return tr.analyze(sector_table(spark, sf_dir), REQUEST).predictions.select(
         big("horizon_sessions"), "from_sector", "to_sector",
         *rounded(6, "current_relative_strength", "current_sector_return", "predicted_return", "transition_probability"),
         "sample_count", "generated_from_date",
@@ -121,7 +121,7 @@ SELECT h::bigint horizon_sessions, from_sector, to_sector, action, round(score,
   action || ' ' || from_sector || ' -> ' || to_sector || ' over ' || h || ' trading sessions from T-anchored state' reason,
   'PRIVATE_INTERNAL' visibility FROM decided""", "decided"))
 def transition_decisions(spark, sf_dir):
-    return tr.analyze(sector_series(spark, sf_dir), REQUEST).decisions.select(
+    return tr.analyze(sector_table(spark, sf_dir), REQUEST).decisions.select(
         big("horizon_sessions"), "from_sector", "to_sector", "action", *rounded(6, "score", "confidence"),
         "reason", "visibility",
     )
@@ -132,7 +132,7 @@ SELECT h::bigint horizon_sessions, from_sector, to_sector, resolved_date, round(
   round(realized_return, 6) realized_return, predicted_direction, realized_direction, predicted_direction = realized_direction direction_correct
 FROM resolved""", "resolved"))
 def transition_outcomes(spark, sf_dir):
-    series = sector_series(spark, sf_dir)
+    series = sector_table(spark, sf_dir)
     resolved = tr.outcomes(tr.analyze(series, REQUEST).predictions, series, REQUEST)
     return resolved.select(
         big("horizon_sessions"), "from_sector", "to_sector", "resolved_date",
@@ -157,7 +157,7 @@ SELECT action, r.to_sector, r.h::bigint horizon_sessions, least(floor(d.probabil
 FROM decided d JOIN resolved r ON r.from_sector = d.from_sector AND r.to_sector = d.to_sector AND r.h = d.h
 GROUP BY ALL""", "decided", "resolved"))
 def transition_accuracy(spark, sf_dir):
-    series = sector_series(spark, sf_dir)
+    series = sector_table(spark, sf_dir)
     analysis = tr.analyze(series, REQUEST)
     resolved = tr.outcomes(analysis.predictions, series, REQUEST)
     return tr.transition_accuracy(analysis.decisions, resolved).select(

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-__all__ = ["DEFAULTS", "build_session", "checkpoint_dir"]
+__all__ = ["DEFAULTS", "build_session", "checkpoint_dir", "cut_lineage"]
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # windows over series cost more CPU than bytes: do not merge their tasks for being small
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.streaming.stateStore.providerClass":
@@ -41,3 +43,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write a frame to the checkpoint folder and continue from there.
+
+    For a reduced table that several branches of a plan read: it is computed once, and a
+    lost executor costs no recomputation of what lies before it.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
+    return df.checkpoint()

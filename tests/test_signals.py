@@ -90,10 +90,11 @@ def test_outcomes_leave_the_rest_alone(spark):
 
 
 def test_outcome_summary(spark):
-    before = hist.conform_history(record(spark, [("X-A", day(0), "BULLISH", 100.0), ("X-B", day(0), "BULLISH", 100.0)]))
-    row = hist.outcome_summary(before, hist.fill_outcomes(before, prices(spark), NOW), prices(spark)).first()
-    assert (row.records_scanned, row.records_updated, row.missing_eod_count) == (2, 1, 1)
-    assert [r.symbol_key for r in hist.missing_eod_symbols(before, prices(spark)).collect()] == ["X-B"]
+    before = record(spark, [("X-A", day(0), "BULLISH", 100.0), ("X-B", day(0), "BULLISH", 100.0), ("X-C", day(0), "NO_DECISION", 1.0)])
+    resolved = hist.resolved_outcomes(before, prices(spark), NOW)
+    row = hist.outcome_summary(resolved).first()
+    assert (row.records_scanned, row.records_updated, row.missing_eod_count) == (3, 1, 1)
+    assert [r.symbol_key for r in hist.missing_eod_symbols(resolved).collect()] == ["X-B"]
 
 
 def test_upsert_keeps_outcomes_and_counts_revisions(spark):
