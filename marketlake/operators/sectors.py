@@ -49,14 +49,15 @@ def sector_members(
 def attach_levels(features: DataFrame, symbols: DataFrame, levels: Mapping[int, str]) -> DataFrame:
     """Add the sector columns of ``levels`` to each feature row by symbol.
 
-    No broadcast is forced: Spark's size statistics broadcast the symbol list while it is
-    small and shuffle by symbol otherwise.
+    The symbol list is the hashed side of a shuffled join: feature rows already lie
+    partitioned by (exchange, symbol), so they neither move nor get sorted again, and the
+    list needs no size assumption (one row per symbol, spread over all tasks).
     """
     lookup = symbols.select(
         F.upper("exchange").alias("exchange"), F.upper("code").alias("symbol"),
         *[F.upper(F.col(c)).alias(f"_lv{n}") for n, c in levels.items()],
     )
-    return features.join(lookup, ["exchange", "symbol"])
+    return features.join(lookup.hint("shuffle_hash"), ["exchange", "symbol"])
 
 
 def explode_levels(df: DataFrame, levels: Mapping[int, str]) -> DataFrame:

@@ -108,10 +108,16 @@ def require_sector_states(sectors: DataFrame, request: TransitionRequest) -> Non
         )
 
 
+def _level(df: DataFrame) -> list[str]:
+    return ["sector_level"] if "sector_level" in df.columns else []
+
+
 def daily_leaders(sectors: DataFrame) -> DataFrame:
-    """The strongest sector per date; a null strength ranks last, ties go to the smaller code."""
+    """The strongest sector per (level and) date; a null strength ranks last, ties go to the
+    smaller code."""
     order = [F.col("relative_strength").desc_nulls_last(), F.col("sector_code").asc()]
-    return first_n(sectors, ["date"], order).select("date", F.col("sector_code").alias("leader"))
+    level = _level(sectors)
+    return first_n(sectors, [*level, "date"], order).select(*level, "date", F.col("sector_code").alias("leader"))
 
 
 def _by_horizon(df: DataFrame, horizons: Sequence[int], value: dict[int, Column], name: str) -> DataFrame:
@@ -127,16 +133,18 @@ def _by_horizon(df: DataFrame, horizons: Sequence[int], value: dict[int, Column]
 def transition_counts(leaders: DataFrame, horizons: Sequence[int]) -> DataFrame:
     """How often leader A was followed by leader B ``h`` sessions later.
 
-    The window over time runs on one row per trading day, after the reduction to leaders.
+    The window over time runs on one row per level and trading day, after the reduction to
+    leaders.
     """
-    w = W.orderBy("date")
+    level = _level(leaders)
+    w = W.partitionBy(*level).orderBy("date")
     ahead = leaders.select(
-        F.col("leader").alias("from_sector"), *[F.lead("leader", h).over(w).alias(f"_a{h}") for h in horizons]
+        *level, F.col("leader").alias("from_sector"), *[F.lead("leader", h).over(w).alias(f"_a{h}") for h in horizons]
     )
     pairs = _by_horizon(ahead, horizons, {h: F.col(f"_a{h}") for h in horizons}, "to_sector")
     return (
         pairs.where("to_sector is not null")
-        .groupBy("horizon_sessions", "from_sector", "to_sector")
+        .groupBy(*level, "horizon_sessions", "from_sector", "to_sector")
         .agg(F.count("*").alias("transitions"))
     )
 
@@ -146,7 +154,7 @@ def probabilities(sectors: DataFrame, request: TransitionRequest) -> DataFrame:
 
     The matrix has the size of the request and is built from its literals.
     """
-    counts = transition_counts(daily_leaders(_known(sectors, request)), request.horizons)
+    counts = transition_counts(daily_leaders(_known(sectors, request)), request.horizons).drop("sector_level")
     grid = (
         _code_rows(sectors, request.universe, "from_sector")
         .withColumn("to_sector", F.explode(F.array(*[F.lit(c) for c in request.universe])))

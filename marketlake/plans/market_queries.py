@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from marketlake.operators import normalize, rotation, sectors
@@ -25,7 +27,7 @@ _SECTOR_KEYS_SQL = "sector_level::bigint AS sector_level, sector_code, date"
 SELECT code, date, ad_open, ad_high, ad_low, ad_close, nm_volume, n_trades FROM eod
 WHERE date >= DATE '1998-01-01'""", "eod"))
 def scan_eod(spark, sf_dir):
-    return fixtures.eod(spark, sf_dir).where("date >= date'1998-01-01'").drop("exchange")
+    return fixtures.eod(spark, sf_dir, since=date(1998, 1, 1)).drop("exchange")
 
 
 @query("prepare_eod", with_ctes("""

@@ -62,7 +62,7 @@ def _known(spark, sf_dir):
 
 @query("daily_leaders", with_ctes("SELECT date, leader FROM leaders", "leaders"))
 def daily_leaders(spark, sf_dir):
-    return tr.daily_leaders(_known(spark, sf_dir))
+    return tr.daily_leaders(_known(spark, sf_dir)).drop("sector_level")
 
 
 @query("state_at_t", with_ctes("""

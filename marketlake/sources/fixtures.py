@@ -6,6 +6,8 @@ orders = job executions, events = ticks, job statuses and notices.
 
 from __future__ import annotations
 
+from datetime import date, datetime, time
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 __all__ = [
@@ -26,7 +28,7 @@ def _price(cents: Column) -> Column:
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    cents = F.rint(F.col("l_extendedprice") * 100).cast("bigint")
     return load(spark, sf_dir, "lineitem").select(
         _symbol_code("l_suppkey").alias("code"),
         F.col("l_shipdate").cast("date").alias("date"),
@@ -42,14 +44,18 @@ def _exchange(suppkey: str) -> Column:
     return F.when(slot == 0, "HOSE").when(slot == 1, "HNX").otherwise("UPCOM")
 
 
-def eod(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One daily bar per symbol.
+def eod(spark: SparkSession, sf_dir: str, since: date | None = None) -> DataFrame:
+    """One daily bar per symbol; ``since`` is compared with the stored column, so the scan
+    skips row groups by it.
 
     The first and last trade are found by min/max of the trade order, so the reduction to
     days starts on the map side; it runs on the numeric key and names follow after it.
     """
-    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
-    rows = load(spark, sf_dir, "lineitem").select(
+    cents = F.rint(F.col("l_extendedprice") * 100).cast("bigint")
+    lines = load(spark, sf_dir, "lineitem")
+    if since is not None:
+        lines = lines.where(F.col("l_shipdate") >= F.lit(datetime.combine(since, time())).cast("timestamp_ntz"))
+    rows = lines.select(
         "l_suppkey", F.col("l_shipdate").cast("date").alias("date"), _price(cents).alias("price"),
         F.col("l_quantity").alias("qty"), F.struct("l_orderkey", "l_linenumber", "l_partkey", cents.alias("cents")).alias("seq"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -179,16 +180,22 @@ class _Cooldown(StatefulProcessor):
         self.anchor = handle.getValueState("anchor", "at long, suppressed long", ttlDurationMs=self.ttl)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
-        moments = pd.concat(list(rows)).sort_values(["t", "event_id"])
-        at, suppressed = self.anchor.get() if self.anchor.exists() else (None, 0)
+        # repeats at one instant are reduced per chunk, so a batch is held as its distinct times
+        per_time = {"event_id": "min", "n": "sum"}
+        chunks = [chunk.assign(n=1).groupby("t", as_index=False).agg(per_time) for chunk in rows]
+        moments = pd.concat(chunks).groupby("t", as_index=False).agg(per_time)
+        times, ids = moments["t"].to_numpy(), moments["event_id"].to_numpy()
+        before = np.concatenate([[0], np.cumsum(moments["n"].to_numpy())])
+        anchor, suppressed = self.anchor.get() if self.anchor.exists() else (None, 0)
+        at = 0 if anchor is None else int(np.searchsorted(times, anchor + self.cooldown))
+        suppressed += int(before[at])
         out = []
-        for t, event in zip(moments["t"], moments["event_id"]):
-            if at is None or t >= at + self.cooldown:
-                out.append((key[0], int(t), int(event), suppressed))
-                at, suppressed = int(t), 0
-            else:
-                suppressed += 1
-        self.anchor.update((at, suppressed))
+        while at < len(times):
+            out.append((key[0], int(times[at]), int(ids[at]), suppressed))
+            anchor = int(times[at])
+            following = int(np.searchsorted(times, anchor + self.cooldown))
+            suppressed, at = int(before[following] - before[at] - 1), following
+        self.anchor.update((anchor, suppressed))
         if out:
             yield pd.DataFrame(out, columns=["dedup_key", "t", "event_id", "delivered_suppressed"])
 
@@ -200,8 +207,8 @@ def cooldown_stream(notices: DataFrame, cooldown_seconds: float, key: str = "ded
     """Retained notices as they come, with the number of repeats suppressed before each.
 
     The state is one row per key. ``ttl_seconds`` drops keys not seen for that long, which
-    bounds the state; a dropped key forgets its undelivered count. A key's rows of one
-    batch are put in order in memory, so bound the batch at the source.
+    bounds the state; a dropped key forgets its undelivered count. Of a key's rows in one
+    batch only the distinct times are held in memory.
     """
     rows = notices.select(F.col(key).alias("dedup_key"), F.unix_micros("ts").alias("t"), "event_id")
     ttl = int(ttl_seconds * 1000) if ttl_seconds else None
