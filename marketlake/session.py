@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,12 +47,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write a frame to the checkpoint folder and continue from there.
+    """Write a frame below the checkpoint folder and continue from the written table.
 
-    For a reduced table that several branches of a plan read: it is computed once, and a
-    lost executor costs no recomputation of what lies before it.
+    For a reduced table that several branches of a plan read: it is computed once, in one
+    job, and a lost executor costs no recomputation of what lies before it.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/marketlake-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

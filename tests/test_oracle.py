@@ -27,7 +27,10 @@ def test_every_oracle_has_a_query():
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query(spark, duck, name):
-    got = entry.queries()[name](spark, SF_DIR).toPandas()
+    df = entry.queries()[name](spark, SF_DIR)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    got = df.toPandas()
     assert got.columns.is_unique
     sql = entry.oracle_sql().get(name)
     if sql is not None:
