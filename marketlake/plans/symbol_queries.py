@@ -191,9 +191,10 @@ def active_symbol_counts(spark, sf_dir):
 
 
 @query("symbols_scd_apply", with_ctes("""
-SELECT exchange, code, CASE WHEN exchange = 'HNX' THEN is_active ELSE incoming END is_active,
-  CASE WHEN incoming AND exchange <> 'HNX' THEN 'new' ELSE sectorlv1code END sector FROM (SELECT *, sectorlv1code IN ('ASIA', 'AFRICA') incoming FROM symbols)
-WHERE is_active OR (incoming AND exchange <> 'HNX')""", "symbols"))
+SELECT exchange, code, CASE WHEN delivered THEN incoming ELSE is_active END is_active, CASE WHEN incoming THEN 'new' ELSE sectorlv1code END sector
+FROM (SELECT *, bool_or(incoming) OVER (PARTITION BY exchange) delivered FROM (
+  SELECT *, sectorlv1code IN ('ASIA', 'AFRICA') AND exchange <> 'HNX' incoming FROM symbols))
+WHERE is_active OR incoming""", "symbols"))
 def symbols_scd_apply(spark, sf_dir):
     """Stored: the active symbols. Delivered: two sectors, and nothing at all for HNX."""
     stored = src.stored_symbols(spark, sf_dir)
