@@ -15,7 +15,7 @@ from marketlake.operators import governance as gov
 from marketlake.schemas import MANIFEST
 
 __all__ = [
-    "VersionedTable", "append_events", "dataset_path", "gather", "publish", "read_dataset", "read_manifests",
+    "VersionedTable", "append_events", "dataset_path", "file_system", "gather", "publish", "read_dataset", "read_manifests",
     "read_optional", "replace_dataset", "write_dataset",
 ]
 
@@ -72,7 +72,8 @@ def write_dataset(
     writer.parquet(path)
 
 
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path and the class of its paths."""
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path
     return hadoop_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
@@ -88,7 +89,7 @@ def replace_dataset(
     """
     spark, mark = df.sparkSession, uuid.uuid4().hex
     staged, old = f"{path}__staging_{mark}", f"{path}__old_{mark}"
-    fs, hadoop_path = _fs(spark, path)
+    fs, hadoop_path = file_system(spark, path)
     try:
         write_dataset(df, staged, schema, partition_by, order_by)
         if validate is not None:
@@ -180,7 +181,7 @@ class VersionedTable:
         self.spark, self.path, self.schema = spark, path.rstrip("/"), _nullable(schema)
 
     def _versions(self) -> list[int]:
-        fs, hadoop_path = _fs(self.spark, self.path)
+        fs, hadoop_path = file_system(self.spark, self.path)
         if not fs.exists(hadoop_path(self.path)):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(hadoop_path(self.path))]
@@ -195,6 +196,6 @@ class VersionedTable:
 
     def write(self, df: DataFrame, version: int, keep: int = 2) -> None:
         df.to(self.schema).write.mode("overwrite").parquet(f"{self.path}/v{version:012d}")
-        fs, hadoop_path = _fs(self.spark, self.path)
+        fs, hadoop_path = file_system(self.spark, self.path)
         for old in [v for v in self._versions() if v <= version][:-keep]:
             fs.delete(hadoop_path(f"{self.path}/v{old:012d}"), True)
