@@ -15,8 +15,6 @@ block of one key (its distinct times only, after a map-side count), never a whol
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F

@@ -24,11 +24,12 @@ Check = Callable[[DataFrame], None]
 
 def dataset_path(root: str, dataset: str, partition: Mapping[str, str] | None = None) -> str:
     """``root/dataset/key=value/...`` in lower case; blank parts are an error."""
-    parts = [dataset, *[f"{k}={v}" for k, v in (partition or {}).items()]]
-    for name, part in zip(["dataset", *(partition or {})], [dataset, *(partition or {}).values()]):
+    named = {"dataset": dataset, **(partition or {})}
+    for name, part in named.items():
         if not str(part).strip():
             raise ValueError(f"{name} must not be blank")
-    return "/".join([root.rstrip("/"), *[p.strip().lower() for p in parts]])
+    parts = [dataset.strip(), *[f"{k}={str(v).strip()}" for k, v in (partition or {}).items()]]
+    return "/".join([root.rstrip("/"), *[p.lower() for p in parts]])
 
 
 def read_dataset(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:

@@ -4,15 +4,15 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from marketlake.schemas import SIGNAL_HISTORY
 from marketlake.operators import governance as gov
+from marketlake.schemas import SIGNAL_HISTORY, conform
 from marketlake.sources import datasets as ds
 
 NOW = dt.datetime(2026, 1, 1)
 
 
 def test_paths():
-    assert ds.dataset_path("/r/", "EOD", {"exchange": " HOSE "}) == "/r/eod/exchange= hose" or ds.dataset_path("/r/", "EOD", {"exchange": "HOSE"}) == "/r/eod/exchange=hose"
+    assert ds.dataset_path("/r/", "EOD", {"exchange": "HOSE", "code": " Abc "}) == "/r/eod/exchange=hose/code=abc"
     with pytest.raises(ValueError):
         ds.dataset_path("/r", "eod", {"exchange": " "})
 
@@ -80,8 +80,6 @@ def test_versioned_table_is_idempotent(spark, folder):
     table = ds.VersionedTable(spark, f"{folder}/v", SIGNAL_HISTORY)
     assert table.latest().count() == 0
     one = spark.createDataFrame([("X-A",)], "symbol_key string")
-    from marketlake.schemas import conform
-
     table.write(conform(one, SIGNAL_HISTORY), 0)
     for _ in range(2):  # a retried batch
         before = table.latest(below=1)
