@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from marketlake.llm.common import stored, text_or_empty, width
 
-__all__ = ["CHUNK", "Vocabulary", "decode", "encode", "id_text"]
+__all__ = ["CHUNK", "Vocabulary", "decode", "digests", "encode", "id_text"]
 
 #: Code points of a chunk, and of the overlap with the next one.
 CHUNK, OVERLAP = 32_768, 512
@@ -164,3 +164,11 @@ def decode(ids: Column, vocabulary: Vocabulary) -> Column:
 def id_text(ids: Column) -> Column:
     """The ids as decimal numbers, a blank between each two."""
     return F.array_join(ids.cast("array<string>"), " ")
+
+
+def digests(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Adds n_tokens, ids_sha256 (of the ids as text) and decoded_sha256 (of the decoded bytes)."""
+    return encoded.select(
+        "*", F.size("ids").cast("long").alias("n_tokens"), F.sha2(id_text(F.col("ids")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(decode(F.col("ids"), vocabulary), 256).alias("decoded_sha256"),
+    )

@@ -4,16 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketlake.llm import exact_dedup, near_dedup
-from marketlake.llm.common import read_documents
+from marketlake.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
+from marketlake.llm.common import held_out, read_documents, read_table, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source to the same expected number of code points."""
+    return mixing.mixed(read_documents(spark, sf_dir))
+
+
+OP2_SQL = r"""
+WITH sizes AS (SELECT source, sum(length(coalesce(text, '')))::DOUBLE AS n FROM documents GROUP BY source),
+rates AS (SELECT source, CASE WHEN n > 0 THEN sum(n) OVER () / count(*) OVER () / n ELSE 1 END AS rate FROM sizes),
+steps AS (
+  SELECT source, sum(exp(-rate) * pow(rate, k) / gamma(k + 1)) OVER (PARTITION BY source ORDER BY k) AS step
+  FROM rates, range(0, 100) AS r(k)),
+drawn AS (SELECT *, ('0x' || substr(md5('17:' || doc_id || ':0'), 1, 13))::BIGINT / pow(2, 52) AS u FROM documents),
+counted AS (
+  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, count(*) AS times
+  FROM drawn d JOIN steps s ON s.source IS NOT DISTINCT FROM d.source AND s.step <= d.u GROUP BY ALL)
+SELECT doc_id, text, lang, source, n_chars, copy::INTEGER AS copy, md5('17:' || doc_id || ':' || copy) AS shuffle_key
+FROM (SELECT *, unnest(range(1, times + 1)) AS copy FROM counted)
+"""
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_copies(read_documents(spark, sf_dir)).drop("bucket", "chain")
 
@@ -34,6 +55,22 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_copies(read_documents(spark, sf_dir), size=2, percent=80).drop("n_links")
 
 
-QUERIES: dict[str, Query] = {"op3_exact_dedup": op3_exact_dedup, "op5_near_dedup": op5_near_dedup}
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", held_out().alias("held_out"), toxicity.scores(text_or_empty(), model).alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    encoded = bpe.encode(read_documents(spark, sf_dir).select("doc_id", "text"), vocabulary)
+    return bpe.digests(encoded, vocabulary).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+QUERIES: dict[str, Query] = {
+    "op2_mix_sources": op2_mix_sources, "op3_exact_dedup": op3_exact_dedup, "op5_near_dedup": op5_near_dedup, "op6_toxicity": op6_toxicity,
+    "op9_byte_bpe": op9_byte_bpe,
+}
 
-ORACLES: dict[str, str] = {"op3_exact_dedup": OP3_SQL}
+ORACLES: dict[str, str] = {"op2_mix_sources": OP2_SQL, "op3_exact_dedup": OP3_SQL}
