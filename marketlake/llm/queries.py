@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketlake.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
+from marketlake.llm import bpe, exact_dedup, licenses, mixing, near_dedup, secrets, toxicity
 from marketlake.llm.common import held_out, read_documents, read_table, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 __all__ = ["ORACLES", "QUERIES"]
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_documents(spark, sf_dir))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source to the same expected number of code points."""
     return mixing.mixed(read_documents(spark, sf_dir))
@@ -68,9 +72,14 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(encoded, vocabulary).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owners are the sources, repositories the sources' parts in one language."""
+    return secrets.find_secrets(read_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
-    "op2_mix_sources": op2_mix_sources, "op3_exact_dedup": op3_exact_dedup, "op5_near_dedup": op5_near_dedup, "op6_toxicity": op6_toxicity,
-    "op9_byte_bpe": op9_byte_bpe,
+    "op1_license_scan": op1_license_scan, "op2_mix_sources": op2_mix_sources, "op3_exact_dedup": op3_exact_dedup, "op5_near_dedup": op5_near_dedup, "op6_toxicity": op6_toxicity,
+    "op9_byte_bpe": op9_byte_bpe, "op10_secrets": op10_secrets,
 }
 
-ORACLES: dict[str, str] = {"op2_mix_sources": OP2_SQL, "op3_exact_dedup": OP3_SQL}
+ORACLES: dict[str, str] = {"op1_license_scan": licenses.scan_sql(), "op2_mix_sources": OP2_SQL, "op3_exact_dedup": OP3_SQL}
