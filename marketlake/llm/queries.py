@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketlake.llm import bpe, exact_dedup, licenses, mixing, near_dedup, secrets, toxicity
+from marketlake.llm import bpe, exact_dedup, imatch, licenses, mixing, near_dedup, quality, secrets, toxicity
 from marketlake.llm.common import held_out, read_documents, read_table, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,11 @@ WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 """
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.scores(read_documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingles of two words, similarity 0.8."""
     return near_dedup.near_copies(read_documents(spark, sf_dir), size=2, percent=80).drop("n_links")
@@ -66,6 +71,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(read_documents(spark, sf_dir))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     encoded = bpe.encode(read_documents(spark, sf_dir).select("doc_id", "text"), vocabulary)
@@ -79,7 +88,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan, "op2_mix_sources": op2_mix_sources, "op3_exact_dedup": op3_exact_dedup, "op5_near_dedup": op5_near_dedup, "op6_toxicity": op6_toxicity,
-    "op9_byte_bpe": op9_byte_bpe, "op10_secrets": op10_secrets,
+    "op4_quality": op4_quality, "op8_fingerprints": op8_fingerprints, "op9_byte_bpe": op9_byte_bpe, "op10_secrets": op10_secrets,
 }
 
 ORACLES: dict[str, str] = {"op1_license_scan": licenses.scan_sql(), "op2_mix_sources": OP2_SQL, "op3_exact_dedup": OP3_SQL}
