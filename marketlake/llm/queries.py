@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketlake.llm import bpe, exact_dedup, imatch, licenses, mixing, near_dedup, quality, secrets, toxicity
+from marketlake.llm import bpe, exact_dedup, imatch, licenses, mixing, near_dedup, pii, quality, secrets, toxicity
 from marketlake.llm.common import held_out, read_documents, read_table, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(read_documents(spark, sf_dir))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(read_documents(spark, sf_dir))
 
@@ -88,7 +92,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan, "op2_mix_sources": op2_mix_sources, "op3_exact_dedup": op3_exact_dedup, "op5_near_dedup": op5_near_dedup, "op6_toxicity": op6_toxicity,
-    "op4_quality": op4_quality, "op8_fingerprints": op8_fingerprints, "op9_byte_bpe": op9_byte_bpe, "op10_secrets": op10_secrets,
+    "op4_quality": op4_quality, "op7_pii": op7_pii, "op8_fingerprints": op8_fingerprints, "op9_byte_bpe": op9_byte_bpe, "op10_secrets": op10_secrets,
 }
 
 ORACLES: dict[str, str] = {"op1_license_scan": licenses.scan_sql(), "op2_mix_sources": OP2_SQL, "op3_exact_dedup": OP3_SQL}
