@@ -131,7 +131,7 @@ def _possible(part: str, digits: int) -> list[int]:
     out = []
     if _SPELLED.fullmatch(part) or "@" in part and not any(c.isspace() for c in part):
         out.append(1)
-    if any(c.isalpha() for c in part):
+    if any(c.isalpha() for c in part) or not (part[0].isdigit() or part[0] in "+("):
         return out
     groups = re.findall("[0-9]+", part)
     if len(groups) == 4 and _octets(".".join(groups)):
