@@ -10,7 +10,7 @@ from marketlake.functions.keyed import first_n
 from marketlake.functions.text import blank_to_null
 
 __all__ = [
-    "UUID_PATTERN", "apply_statuses", "execution_notices", "rejected_statuses", "rollup", "signal_digest",
+    "UUID_PATTERN", "apply_statuses", "changed_signals", "execution_notices", "rejected_statuses", "rollup", "signal_digest",
     "transition_failure_notices",
 ]
 
@@ -40,7 +40,8 @@ def _reason(id_pattern: str | None, has_meta: bool, has_parent: bool) -> Column:
         odd = F.lit(False)
         for key in _NUMERIC_META:
             text = blank_to_null(F.col("meta")[key])
-            odd = odd | (text.isNotNull() & text.try_cast("double").isNull())
+            whole = text.rlike(r"^[+-]?[0-9]+$") & text.try_cast("int").isNotNull()
+            odd = odd | (text.isNotNull() & ~whole)
         out = out.when(F.coalesce(odd, F.lit(False)), "INVALID_NUMERIC_METADATA")
     if has_parent:
         parent = blank_to_null(F.col("parent_execution_id"))
@@ -214,13 +215,24 @@ def transition_failure_notices(parents: DataFrame, children: DataFrame) -> DataF
     )
 
 
-def signal_digest(parents: DataFrame, children: DataFrame) -> DataFrame:
-    """Signal changes of each successful parent run as one text, at most 20 items listed.
+def _has_changed() -> Column:
+    return (F.col("status") == "SUCCESS") & F.coalesce(F.lower(F.col("meta")["signalChanged"]) == "true", F.lit(False))
 
-    Counts and the first non-blank strategy/timeframe are partial aggregates; the items are
-    cut to the first 20 per parent before they are collected.
+
+def changed_signals(parents: DataFrame, children: DataFrame) -> DataFrame:
+    """Every signal change of the successful parent runs, one row each, whatever a digest's text lists."""
+    meta = {"symbol_key": "symbolKey", "previous_signal": "previousSignal", "new_signal": "newSignal", "signal_date": "signalDate", "price": "price", "score": "score"}
+    items = children.where(_has_changed()).select(F.col("parent_log_id").alias("id"), "seq", *[F.col("meta")[k].alias(c) for c, k in meta.items()])
+    return items.join(parents.where("status = 'SUCCESS'").select("id"), "id", "left_semi")
+
+
+def signal_digest(parents: DataFrame, children: DataFrame, listed_items: int = DIGEST_ITEMS) -> DataFrame:
+    """Signal changes of each successful parent run as one text that lists ``listed_items`` of them.
+
+    Counts and the first non-blank strategy/timeframe are partial aggregates over all items;
+    :func:`changed_signals` has the items themselves. What the text lists is cut before it is gathered.
     """
-    changed = (F.col("status") == "SUCCESS") & F.coalesce(F.lower(F.col("meta")["signalChanged"]) == "true", F.lit(False))
+    changed = _has_changed()
 
     def first_filled(key: str) -> Column:
         value = F.when(changed, blank_to_null(F.col("meta")[key]))
@@ -241,7 +253,7 @@ def signal_digest(parents: DataFrame, children: DataFrame) -> DataFrame:
     )
     listed = first_n(
         children.where(changed).select("parent_log_id", "seq", line.alias("line")),
-        ["parent_log_id"], [F.col("seq").asc()], DIGEST_ITEMS,
+        ["parent_log_id"], [F.col("seq").asc()], listed_items,
     ).groupBy(F.col("parent_log_id").alias("id")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda i: i["line"]).alias("items")
     )
@@ -250,8 +262,8 @@ def signal_digest(parents: DataFrame, children: DataFrame) -> DataFrame:
         F.lit(" on timeframe "), F.col("timeframe"), F.lit("."),
     )
     more = F.when(
-        F.col("changed_count") > DIGEST_ITEMS,
-        F.concat(F.lit("..."), (F.col("changed_count") - DIGEST_ITEMS).cast("string"), F.lit(" more changes omitted")),
+        F.col("changed_count") > listed_items,
+        F.concat(F.lit("..."), (F.col("changed_count") - listed_items).cast("string"), F.lit(" more changes omitted")),
     )
     return (
         parents.where("status = 'SUCCESS'").select("id").join(head, "id").join(listed, "id")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from marketlake.functions.keyed import keep_last
 
 __all__ = [
-    "block_reasons", "data_versions", "dataset_stats", "dependency_check", "job_guard", "latest_ready",
+    "block_reasons", "data_versions", "dataset_stats", "dependency_check", "file_objects", "job_guard", "latest_ready",
     "lineage_check", "manifest_violations", "object_checksums", "partition_key", "schema_hashes",
 ]
 
@@ -119,10 +119,15 @@ def data_versions(datasets: DataFrame, objects: DataFrame) -> DataFrame:
     return rows.select("dataset", "pk", _sha256(canonical).alias("data_version"), F.size("objects").alias("object_count"))
 
 
-def object_checksums(spark: SparkSession, path: str) -> DataFrame:
-    """Path, checksum and size of each file below ``path``; files are hashed where they are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", _sha256(F.col("content")).alias("checksum"), F.col("length").alias("bytes"))
+def object_checksums(objects: DataFrame) -> DataFrame:
+    """Path, checksum and size in bytes of stored objects; ``objects``: path, content (text or binary)."""
+    content = F.col("content").cast("binary")
+    return objects.select("path", _sha256(content).alias("checksum"), F.octet_length(content).cast("long").alias("bytes"))
+
+
+def file_objects(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of each file below ``path``, one row a file: for objects well below 2 GiB."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
 def manifest_violations(manifests: DataFrame) -> DataFrame:

@@ -85,12 +85,14 @@ def signal_transitions(history: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def upsert_signals(history: DataFrame, incoming: DataFrame, now: datetime) -> DataFrame:
-    """Insert or replace by key. A replaced row keeps its outcomes and counts one revision up;
+    """Insert or replace by key; of incoming rows that repeat a key the last generated one counts. A replaced row keeps its outcomes and counts one revision up;
     NO_DECISION is never stored and stored rows with a null key are dropped."""
     old = keep_last(
         conform_history(history).dropna(subset=SIGNAL_KEY), SIGNAL_KEY, ["revision", "generated_at"]
     ).withColumn("_old", F.lit(True))
-    new = conform_history(incoming).where("signal <> 'NO_DECISION'").withColumn("_new", F.lit(True))
+    new = keep_last(
+        conform_history(incoming).where("signal <> 'NO_DECISION'"), SIGNAL_KEY, ["generated_at", "revision", "score", "signal_price", "signal"]
+    ).withColumn("_new", F.lit(True))
     both = old.alias("o").join(new.alias("n"), SIGNAL_KEY, "full_outer")
     replaced = F.col("n._new").isNotNull()
     kept = set(OUTCOME_COLUMNS)

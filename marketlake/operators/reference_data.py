@@ -4,23 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-__all__ = ["industry_paths", "statement_columns"]
-
-MAX_LEVELS = 4
+from marketlake.session import cut_lineage
 
+__all__ = ["industry_paths", "statement_columns"]
 
 def industry_paths(industries: DataFrame) -> DataFrame:
     """Each industry with the codes of its ancestors, root first.
 
-    ``icb_code, parent_code`` refer to each other; the taxonomy has four levels, so three
-    equi-joins walk to any root.
+    ``icb_code, parent_code`` refer to each other, to any depth. Each join walks one level up and
+    is written, until no row has a parent left; a cycle raises.
     """
-    out = industries.withColumns({"path": F.array("icb_code"), "_up": F.col("parent_code")})
-    for _ in range(MAX_LEVELS - 1):
-        step = industries.select(F.col("icb_code").alias("_up"), F.col("parent_code").alias("_next"))
-        out = out.join(step, "_up", "left").withColumn(
+    out = cut_lineage(industries.withColumns({"path": F.array("icb_code"), "_up": F.col("parent_code")}))
+    step = cut_lineage(industries.select(F.col("icb_code").alias("_up"), F.col("parent_code").alias("_next")))
+    while out.where("_up is not null").limit(1).count():
+        looped = out.where(F.array_contains("path", F.col("_up"))).select("icb_code").head()
+        if looped:
+            raise ValueError(f"industry {looped.icb_code} is among its own ancestors")
+        out = cut_lineage(out.join(step, "_up", "left").withColumn(
             "path", F.when(F.col("_up").isNotNull(), F.concat(F.array("_up"), "path")).otherwise(F.col("path"))
-        ).drop("_up").withColumnRenamed("_next", "_up")
+        ).drop("_up").withColumnRenamed("_next", "_up"))
     return out.drop("_up").withColumns({"depth": F.size("path"), "root_code": F.col("path")[0]})
 
 

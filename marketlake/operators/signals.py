@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from marketlake.functions.keyed import keep_last
@@ -91,9 +93,16 @@ def score_rows(rows: DataFrame, key: str = "symbol_key") -> DataFrame:
     return _scored(rows.select(key, *EOD_COLUMNS, *INDICATOR_COLUMNS[1:]), key)
 
 
+def _one_a_day(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """The last delivered row per key and date: by ``_seq`` where rows carry it, equal ones by their values."""
+    order = ["_seq"] if "_seq" in df.columns else []
+    values = [c for c in columns if c != "date"]
+    return keep_last(df.select(key, *columns, *order), [key, "date"], [*order, *values]).select(key, *columns)
+
+
 def scored_history(eod: DataFrame, indicators: DataFrame, key: str = "symbol_key") -> DataFrame:
     """The rule on every date two stored inputs share."""
-    joined = eod.select(key, *EOD_COLUMNS).join(indicators.select(key, *INDICATOR_COLUMNS), [key, "date"])
+    joined = _one_a_day(eod, key, EOD_COLUMNS).join(_one_a_day(indicators, key, INDICATOR_COLUMNS), [key, "date"])
     return _scored(joined, key)
 
 
@@ -109,7 +118,7 @@ def latest_signals(
     if reasons:
         keys = (symbols if symbols is not None else eod).select(key).distinct()
         return _no_decision(keys, F.array(*[F.lit(r) for r in reasons]), key)
-    joined = eod.select(key, *EOD_COLUMNS).join(indicators.select(key, *INDICATOR_COLUMNS), [key, "date"])
+    joined = _one_a_day(eod, key, EOD_COLUMNS).join(_one_a_day(indicators, key, INDICATOR_COLUMNS), [key, "date"])
     latest = _scored(keep_last(joined, [key], ["date"]), key)
     if symbols is None:
         return latest

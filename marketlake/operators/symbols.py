@@ -7,7 +7,7 @@ from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from marketlake.functions.keyed import keep_first, require_columns
+from marketlake.functions.keyed import keep_first, keep_last, require_columns
 from marketlake.functions.numeric import safe_div
 from marketlake.functions.text import blank_to_null, canonical_code
 from marketlake.operators.normalize import clean_value, fetch_size
@@ -105,7 +105,10 @@ def normalize_symbols(
 
 
 def preserve_classification(df: DataFrame, previous: DataFrame) -> DataFrame:
-    """Fill classification columns from the previous snapshot where the new ones are null."""
+    """Fill classification columns from the previous snapshot where the new ones are null.
+
+    Of previous rows that repeat a symbol the one classified last counts.
+    """
     if "exchange" not in previous.columns and "floor" in previous.columns:
         previous = previous.withColumn("exchange", F.col("floor"))
     if not {"code", "exchange"} <= set(previous.columns):
@@ -116,7 +119,8 @@ def preserve_classification(df: DataFrame, previous: DataFrame) -> DataFrame:
     old = previous.select(
         F.upper("exchange").alias("exchange"), F.upper("code").alias("code"), *[F.col(c).alias(f"_p_{c}") for c in known]
     )
-    joined = df.join(old, ["exchange", "code"], "left")
+    values = [f"_p_{c}" for c in sorted(known, key=lambda c: c != "classificationUpdatedAt")]
+    joined = df.join(keep_last(old, ["exchange", "code"], values), ["exchange", "code"], "left")
     carried = {
         c: F.coalesce(F.col(c), F.col(f"_p_{c}")) if c in df.columns else F.col(f"_p_{c}") for c in known
     }
@@ -231,10 +235,12 @@ def symbol_meta(records: DataFrame) -> DataFrame:
 def apply_snapshot(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """Symbol state after a snapshot: insert or reactivate with new metadata, deactivate what
     the snapshot lacks. Exchanges without any incoming row are left alone, so an empty
-    delivery cannot deactivate a market."""
+    delivery cannot deactivate a market. Of rows that repeat a symbol the last one delivered
+    counts: the largest ``_seq``, and of rows without it the largest metadata text."""
     delivered = incoming.select("exchange").distinct().withColumn("_delivered", F.lit(True))
-    new = keep_first(
-        incoming.withColumn("_seq", F.lit(0)), ["exchange", "code"]
+    order = incoming if "_seq" in incoming.columns else incoming.withColumn("_seq", F.lit(0))
+    new = keep_last(
+        order.withColumn("_text", F.to_json("meta")), ["exchange", "code"], ["_seq", "_text"]
     ).select("exchange", "code", F.col("meta").alias("_meta"), F.lit(True).alias("_in"))
     both = current.join(new, ["exchange", "code"], "full_outer").join(delivered, "exchange", "left")
     active = F.when(F.col("_in"), True).when(F.col("_delivered"), False).otherwise(F.col("is_active"))

@@ -240,6 +240,8 @@ class TransitionAnalysis:
 
 
 def analyze(sectors: DataFrame, request: TransitionRequest) -> TransitionAnalysis:
+    """Probabilities, predictions and decisions; raises when a universe sector has no state yet."""
+    require_sector_states(sectors, request)
     matrix = probabilities(sectors, request)
     predicted = predictions(sectors, matrix, request)
     return TransitionAnalysis(matrix, predicted, decisions(predicted))

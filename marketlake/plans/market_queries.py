@@ -24,9 +24,16 @@ _SECTOR_KEYS_SQL = "sector_level::bigint AS sector_level, sector_code, date"
 
 
 @query("scan_eod", with_ctes("""
+SELECT code, date, ad_open, ad_high, ad_low, ad_close, nm_volume, n_trades FROM eod""", "eod"))
+def scan_eod(spark, sf_dir):
+    return fixtures.eod(spark, sf_dir).drop("exchange")
+
+
+@query("scan_eod_pruned", with_ctes("""
 SELECT code, date, ad_open, ad_high, ad_low, ad_close, nm_volume, n_trades FROM eod
 WHERE date >= DATE '1998-01-01'""", "eod"))
-def scan_eod(spark, sf_dir):
+def scan_eod_pruned(spark, sf_dir):
+    """The read with a date bound, which is the feature: it reaches the scan."""
     return fixtures.eod(spark, sf_dir, since=date(1998, 1, 1)).drop("exchange")
 
 

@@ -139,11 +139,11 @@ SELECT s.exchange || '-' || s.code symbol_key, coalesce(l.signal, 'NO_DECISION')
   coalesce(l.reasons, 'NO_OVERLAPPING_EOD_INDICATOR_DATES') reasons
 FROM symbols s LEFT JOIN (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol_key ORDER BY signal_date DESC) rn FROM scored
-    WHERE signal_date < DATE '1995-04-01' AND symbol_key NOT LIKE 'UPCOM-%') WHERE rn = 1) l
+    WHERE symbol_key NOT LIKE 'UPCOM-%') WHERE rn = 1) l
 ON l.symbol_key = s.exchange || '-' || s.code""", "scored"))
 def signal_no_decision(spark, sf_dir):
-    """Short early histories lack values; one exchange has no indicators at all."""
-    eod = symbol_eod(spark, sf_dir).where("date < date'1995-04-01'")
+    """One exchange has no indicators at all."""
+    eod = symbol_eod(spark, sf_dir)
     table = indicators.indicators(
         eod.where("exchange <> 'UPCOM'"), ["MA20", "MA50", "RSI14", "MACD"], keys=_KEY
     )
@@ -199,6 +199,9 @@ def signal_upsert(spark, sf_dir):
 define("placed", """
 SELECT symbol_key, date, lead(ad_close,5) OVER w p5, lead(ad_close,10) OVER w p10, lead(ad_close,15) OVER w p15, lead(ad_close,20) OVER w p20
 FROM bars WHERE symbol_key NOT LIKE 'UPCOM-%' WINDOW w AS (PARTITION BY code ORDER BY date)""", "bars")
+define("placed_all", """
+SELECT symbol_key, date, lead(ad_close,5) OVER w p5, lead(ad_close,10) OVER w p10, lead(ad_close,15) OVER w p15, lead(ad_close,20) OVER w p20
+FROM bars WINDOW w AS (PARTITION BY symbol_key ORDER BY date)""", "bars")
 _OUTCOMES_SQL = ", ".join(
     f"round(p{n},4) actual_price_t{n}, round((p{n} - signal_price) / nullif(signal_price, 0),6) actual_return_t{n}"
     for n in history.OUTCOME_WINDOWS
@@ -211,11 +214,11 @@ def _listed_eod(spark, sf_dir: str) -> DataFrame:
 
 
 @query("signal_outcomes", with_ctes(f"""
-SELECT d.symbol_key, signal_date, signal, {_OUTCOMES_SQL} FROM deciding d LEFT JOIN placed p ON p.symbol_key = d.symbol_key AND p.date = d.signal_date""",
-    "deciding", "placed"))
+SELECT d.symbol_key, signal_date, signal, {_OUTCOMES_SQL} FROM deciding d LEFT JOIN placed_all p ON p.symbol_key = d.symbol_key AND p.date = d.signal_date""",
+    "deciding", "placed_all"))
 def signal_outcomes(spark, sf_dir):
     deciding = scored(spark, sf_dir).where("signal <> 'NO_DECISION'")
-    out = history.fill_outcomes(deciding, _listed_eod(spark, sf_dir), NOW)
+    out = history.fill_outcomes(deciding, symbol_eod(spark, sf_dir), NOW)
     return out.select(
         "symbol_key", "signal_date", "signal",
         *rounded(4, *[f"actual_price_t{n}" for n in history.OUTCOME_WINDOWS]),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marketlake.functions.keyed import keep_last
 from marketlake.plans.ctes import with_ctes
 from marketlake.plans.registry import query, rnd
 from marketlake.streaming import jobs, runs, ticks
@@ -38,14 +39,14 @@ def cooldown_stream(spark, sf_dir):
 
 
 @query("minute_bar_stream", with_ctes("""
-SELECT symbol, strftime(bar_time, '%Y-%m-%d %H:%M') bar_time, "open", high, low, "close", volume, round(vwap, 6) vwap, trades::bigint trades FROM bars_1
-WHERE bar_time + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""", "bars_1"))
+SELECT symbol, strftime(bar_time, '%Y-%m-%d %H:%M') bar_time, "open", high, low, "close", volume, round(vwap, 6) vwap, trades::bigint trades FROM bars_1""", "bars_1"))
 def minute_bar_stream(spark, sf_dir):
-    """Bars behind the watermark; those still open at the end of the data are not emitted."""
+    """All bars: the last state of each, those still open at the end of the data included."""
     trades = runs.table_stream(spark, sf_dir, "events").select(
         "event_id", F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("market_timestamp"),
         F.col("value").alias("price"), (1 + F.col("event_id") % 100).alias("volume"),
     )
-    return runs.drained(ticks.minute_bar_stream(trades)).select(
+    bars = runs.drained(ticks.minute_bar_stream(trades), "update")
+    return keep_last(bars, ["symbol", "bar_time"], ["batch"]).select(
         "symbol", F.date_format("bar_time", "yyyy-MM-dd HH:mm").alias("bar_time"), "open", "high", "low", "close", "volume", rnd("vwap"), "trades"
     )

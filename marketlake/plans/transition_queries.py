@@ -60,9 +60,12 @@ def _known(spark, sf_dir):
     return sector_series(spark, sf_dir).where("sector_level = 1").where(F.col("date") <= F.lit(REQUEST.evaluation_date))
 
 
-@query("daily_leaders", with_ctes("SELECT date, leader FROM leaders", "leaders"))
+@query("daily_leaders", with_ctes("""
+SELECT sector_level::bigint sector_level, date, sector_code leader FROM (
+  SELECT *, row_number() OVER (PARTITION BY sector_level, date ORDER BY relative_strength DESC NULLS LAST, sector_code) rn FROM waved)
+WHERE rn = 1""", "waved"))
 def daily_leaders(spark, sf_dir):
-    return tr.daily_leaders(_known(spark, sf_dir)).drop("sector_level")
+    return tr.daily_leaders(sector_series(spark, sf_dir)).select(F.col("sector_level").cast("bigint").alias("sector_level"), "date", "leader")
 
 
 @query("state_at_t", with_ctes("""

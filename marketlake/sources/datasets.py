@@ -137,7 +137,7 @@ def publish(
         F.max("min_timestamp").alias("minTimestamp"), F.max("max_timestamp").alias("maxTimestamp"),
         F.array_sort(F.collect_list(F.struct("name", "type", "nullable"))).alias("columns"),
     )
-    files = gov.object_checksums(spark, f"{path}/*.parquet")
+    files = gov.object_checksums(gov.file_objects(spark, f"{path}/*.parquet"))
     sizes = files.agg(F.sum("bytes").alias("totalBytes")).withColumn("dataset", F.lit(dataset))
     head = shape.join(gov.schema_hashes(stats, ["dataset"]), "dataset").join(sizes, "dataset").withColumn("partition", part)
     if inputs is not None:

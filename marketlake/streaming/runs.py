@@ -14,10 +14,14 @@ __all__ = ["drained", "table_stream"]
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def table_stream(spark: SparkSession, sf_dir: str, table: str, files_per_batch: int = 1) -> DataFrame:
-    """A stored table, a folder of files or a single file, as a file stream."""
+def table_stream(spark: SparkSession, sf_dir: str, table: str, files_per_batch: int | None = None) -> DataFrame:
+    """A stored table, a folder of files or a single file, as a file stream.
+
+    A run takes all files together unless told otherwise: files have no order in time, and what a
+    watermark or a state has passed by would be lost.
+    """
     path = f"{sf_dir}/{table}.parquet"
-    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch or 2**31 - 1)
     fs, hadoop_path = file_system(spark, path)
     if fs.getFileStatus(hadoop_path(path)).isDirectory():
         return reader.parquet(path)

@@ -10,7 +10,8 @@ __all__ = ["minute_bar_stream", "tick_intensity_stream"]
 
 
 def minute_bar_stream(ticks: DataFrame, lateness: str = "10 minutes", width: str = "1 minute") -> DataFrame:
-    """Bars in append mode: each bar is emitted once, when the watermark has passed it.
+    """Bars. In append mode each is emitted once, when the watermark has passed it; in update mode each
+    batch emits the bars that it changed, so that the last state of each is the whole result.
 
     Trades are counted once per ``event_id`` within the lateness bound; later ones are dropped.
     """

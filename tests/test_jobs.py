@@ -243,3 +243,34 @@ def test_portfolio_decimals(spark):
     out = portfolio.positions(df).orderBy("txn_date").collect()
     assert [r.position for r in out] == [10, 7]
     assert [float(r.cash_flow) for r in out] == [-25.1, -13.3]
+
+
+def test_industry_paths_of_any_depth_and_cycles(spark):
+    from marketlake.operators.reference_data import industry_paths
+
+    chain = spark.createDataFrame([(c, p) for c, p in zip("abcdef", [None, *"abcde"])], "icb_code string, parent_code string")
+    last = industry_paths(chain).where("icb_code = 'f'").first()
+    assert (last["depth"], last["root_code"], last["path"]) == (6, "a", list("abcdef"))
+    with pytest.raises(ValueError, match="own ancestors"):
+        industry_paths(spark.createDataFrame([("a", "b"), ("b", "a")], "icb_code string, parent_code string"))
+
+
+def test_numeric_metadata_takes_whole_numbers_only(spark):
+    from pyspark.sql import functions as F
+
+    from marketlake.operators.executions import rejected_statuses
+
+    rows = [(f"E{i}", "SUCCESS", v) for i, v in enumerate(["7", "-3", "3.5", "1e5", "99999999999", " "])]
+    messages = spark.createDataFrame(rows, "execution_id string, status string, v string").select("execution_id", "status", F.create_map(F.lit("recordsProcessed"), "v").alias("meta"), F.lit(1).cast("long").alias("seq"))
+    known = spark.createDataFrame([(f"E{i}",) for i in range(6)], "id string").select("id", F.col("id").alias("execution_id"))
+    bad = rejected_statuses(messages, known, id_pattern=None)
+    assert sorted(r["execution_id"] for r in bad.collect()) == ["E2", "E3", "E4"]
+
+
+def test_checksums_of_objects(spark):
+    import hashlib
+
+    from marketlake.operators.governance import object_checksums
+
+    got = object_checksums(spark.createDataFrame([("p", "é"), ("q", "")], "path string, content string")).collect()
+    assert [(r["bytes"], r["checksum"].endswith(hashlib.sha256(t.encode()).hexdigest())) for r, t in zip(got, ("é", ""))] == [(2, True), (0, True)]
