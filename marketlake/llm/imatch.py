@@ -73,8 +73,8 @@ def frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict[bytes, int] = {}
         for batch in batches:
-            for start in range(0, batch.num_rows, 4096):
-                found = [_terms(t, memory) for t in batch.slice(start, 4096).column(0).cast(pa.binary()).to_pylist()]
+            for start in range(0, batch.num_rows, 1024):
+                found = [_terms(t, memory) for t in batch.slice(start, 1024).column(0).cast(pa.binary()).to_pylist()]
                 terms, counts = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(counts.astype(np.int64))], names=["term", "n"])
 
