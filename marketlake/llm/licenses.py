@@ -29,7 +29,7 @@ SENTENCES = {
     "licensed under the mit license": "MitRef",
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction": "MitGrant",
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "MitNotice",
-    "the software is provided as is without warranty of any kind express or implied": "AsIs",
+    "provided as is without warranty of any kind express or implied": "AsIs",
     "permission to use copy modify and/or distribute this software for any purpose with or without fee is hereby granted": "IscGrant",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "BsdPre",
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "BsdSource",
