@@ -21,6 +21,7 @@ are not learnt from; without both kinds of labels every score is 0. Rows that re
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,9 +47,13 @@ NAMED = 3
 STEPS = [(j, k) for j in range(1, SPAN) for k in range(1, SPAN) if j + k <= SPAN]
 #: Symbols, and the code of what separates words; codes 1 to 26 are a to z, 27 to 58 other letters, 59 is a digit.
 SYMBOLS, LEFT_OUT = 64, 255
+#: Characters that are worked on at once; a run of so many without a blank is read as several words.
+SLICE = 250_000
 #: Value of a word that a document lacks.
 ABSENT = -3.0
 
+_WORD_END = re.compile(r"\s(?=\S\S)")
+
 
 def _code_table() -> np.ndarray:
     table = np.full(0x3000, LEFT_OUT, np.uint8)
@@ -92,6 +97,30 @@ def _symbols(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, of[first]
 
 
+def _slices(texts: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """The texts in slices of bounded size: (text of each part, parts). Long texts are cut at blanks behind words."""
+    owners: list[int] = []
+    parts: list[str] = []
+    held = 0
+    for i, text in enumerate(texts):
+        start = 0
+        while True:
+            end = min(len(text), start + SLICE)
+            if end < len(text):
+                found = _WORD_END.search(text[start:end][::-1])
+                end = end - found.start() if found else end
+            owners.append(i), parts.append(text[start:end])
+            held += end - start + 1
+            if held >= SLICE:
+                yield np.array(owners), parts
+                owners, parts, held = [], [], 0
+            start = end
+            if start >= len(text):
+                break
+    if parts:
+        yield np.array(owners), parts
+
+
 def _occurrences(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
     """For each pair of steps: starts of the triples that lie within a word, their numbers, their weight."""
     zeros = np.cumsum(codes == 0, dtype=np.int32)
@@ -134,20 +163,24 @@ class Model:
 
     def foremost(self, texts: list[str], table: np.ndarray) -> np.ndarray:
         """Value of the foremost word, of the next two as far as they speak for the label, and the logarithm of the number of words."""
-        values, of, _ = self.words(texts, table)
-        out = np.full((len(texts), 4), ABSENT)
-        out[:, 3] = np.log1p(np.bincount(of, minlength=len(texts)))
-        for rank in range(3):
-            if not len(values):
-                break
-            top = np.full(len(texts), -np.inf)
-            np.maximum.at(top, of, values)
-            out[:, rank] = np.where(np.isfinite(top), top, ABSENT)
-            hit = np.flatnonzero(values == top[of])
-            _, one = np.unique(of[hit], return_index=True)
-            values[hit[one]] = -np.inf
-        np.maximum(out[:, 1:3], 0, out=out[:, 1:3])
-        return out
+        best = np.full((len(texts), 3), -np.inf)
+        count = np.zeros(len(texts), np.int64)
+        for owners, parts in _slices(texts):
+            values, of, _ = self.words(parts, table)
+            of = owners[of]
+            count += np.bincount(of, minlength=len(texts))
+            for _ in range(3):
+                if not len(values):
+                    break
+                top = np.full(len(texts), -np.inf)
+                np.maximum.at(top, of, values)
+                best = -np.sort(-np.column_stack([best, top]), axis=1)[:, :3]
+                hit = np.flatnonzero(values == top[of])
+                _, one = np.unique(of[hit], return_index=True)
+                values[hit[one]] = -np.inf
+        out = np.where(np.isfinite(best), best, ABSENT)
+        np.maximum(out[:, 1:], 0, out=out[:, 1:])
+        return np.column_stack([out, np.log1p(count)])
 
     def score(self, texts: list[str], table: np.ndarray) -> np.ndarray:
         if self.logistic is None:
@@ -260,12 +293,17 @@ def _leaders(sample: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 texts, toxic = (c.to_pylist() for c in batch.slice(start, 256).columns)
-                values, of, codes = model.words(texts, table)
-                words = codes.tobytes().split(b"\0")[1:-1] if len(of) else []
-                order = np.lexsort((-values, of))
-                best = order[np.unique(of[order], return_index=True)[1]]
+                best: dict[int, tuple[float, bytes]] = {}
+                for owners, parts in _slices(texts):
+                    values, of, codes = model.words(parts, table)
+                    words = codes.tobytes().split(b"\0")[1:-1] if len(of) else []
+                    order = np.lexsort((-values, of))
+                    for i in order[np.unique(of[order], return_index=True)[1]]:
+                        owner = int(owners[of[i]])
+                        if owner not in best or values[i] > best[owner][0]:
+                            best[owner] = float(values[i]), words[i]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([toxic[of[i]] for i in best], pa.int32()), pa.array([words[i] for i in best], pa.binary()), pa.array(values[best].astype(float), pa.float64())],
+                    [pa.array([toxic[i] for i in best], pa.int32()), pa.array([w for _, w in best.values()], pa.binary()), pa.array([v for v, _ in best.values()], pa.float64())],
                     names=["toxic", "word", "value"],
                 )
 
@@ -326,7 +364,7 @@ def scores(text: Column, model: Model) -> Column:
         table = _code_table()
         for part in parts:
             texts = part.fillna("").tolist()
-            yield pd.Series(np.concatenate([model.score(texts[i : i + 128], table) for i in range(0, len(texts), 128)] or [np.empty(0)]), dtype=float)
+            yield pd.Series(model.score(texts, table), dtype=float)
 
     over.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(over, "double")(text)
