@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-__all__ = ["first_n", "keep_first", "keep_last", "require_columns", "with_seq"]
+__all__ = ["first_n", "keep_first", "keep_last", "last_of_each_date", "require_columns", "with_seq"]
 
 
 def require_columns(df: DataFrame, names: Sequence[str], what: str = "input") -> DataFrame:
@@ -36,6 +36,14 @@ def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ("_seq"
     return first_n(df, keys, [F.col(c).desc_nulls_last() for c in order])
 
 
+def last_of_each_date(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The last row per key and date, by a window over the series: windows over the same series that
+    follow share its partitioning and its sort."""
+    w = W.partitionBy(*keys).orderBy("date", *[F.col(c).asc_nulls_first() for c in order])
+    day = F.struct("date")
+    return df.withColumn("_again", F.lead(day).over(w).eqNullSafe(day)).where("not _again").drop("_again")
+
+
 def with_seq(*frames: DataFrame) -> DataFrame:
     """Union by name, tagging each row with the position of the frame it came from."""
     tagged = [f.withColumn("_seq", F.lit(i)) for i, f in enumerate(frames)]

@@ -7,7 +7,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from marketlake.functions.keyed import keep_first, keep_last, require_columns
+from marketlake.functions.keyed import keep_first, keep_last, last_of_each_date, require_columns
 from marketlake.functions.numeric import nan_to_null, to_double
 from marketlake.functions.text import blank_to_null, snake_case
 
@@ -49,12 +49,15 @@ def prepare_eod(
     df: DataFrame, source: str = "ad_close", keys: tuple[str, ...] = ("code",),
     order: tuple[str, ...] = ("_seq",),
 ) -> DataFrame:
-    """Indicator input: required columns, last duplicate per date, numeric coercion."""
+    """Indicator input: required columns, last duplicate per date, numeric coercion.
+
+    Rows without the order columns are ordered by their values, so that one row a date is left in any case.
+    """
     require_columns(df, [*EOD_REQUIRED, source, *keys], "EOD data")
     out = df.withColumn("date", F.col("date").cast("date"))
-    if set(order) <= set(out.columns):
-        out = keep_last(out, [*keys, "date"], order)
     numeric = dict.fromkeys(["ad_open", "ad_high", "ad_low", "ad_close", source])
+    known = set(order) <= set(out.columns)
+    out = keep_last(out, [*keys, "date"], order) if known else last_of_each_date(out, keys, list(numeric))
     return out.withColumns({c: to_double(c) for c in numeric})
 
 
@@ -67,7 +70,8 @@ def normalize_eod(
     df: DataFrame, keys: tuple[str, ...] = ("exchange", "code"), order: tuple[str, ...] = ("_seq",),
 ) -> DataFrame:
     """Feature input: ``date / close / volume``, null closes dropped before the last
-    duplicate per date is chosen; a missing volume column counts as 0."""
+    duplicate per date is chosen; a missing volume column counts as 0. Rows without an order
+    column are ordered by their values."""
     require_columns(df, ["date", "ad_close", *keys], "EOD frame")
     volume = to_double("nm_volume") if "nm_volume" in df.columns else F.lit(0.0)
     ordered = [c for c in order if c in df.columns]
@@ -75,7 +79,9 @@ def normalize_eod(
         *keys, F.col("date").cast("date").alias("date"), to_double("ad_close").alias("close"),
         volume.alias("volume"), *ordered,
     ).dropna(subset=["date", "close"])
-    return keep_last(out, [*keys, "date"], ordered).drop(*ordered) if ordered else out
+    if not ordered:
+        return last_of_each_date(out, keys, ["close", "volume"])
+    return keep_last(out, [*keys, "date"], ordered).drop(*ordered)
 
 
 def eod_merge_keep_first(existing: DataFrame, incoming: DataFrame, keys=("code", "date")) -> DataFrame:

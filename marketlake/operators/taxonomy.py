@@ -90,9 +90,11 @@ def merged_sector_records(records: DataFrame) -> DataFrame:
 
 def upsert_sectors(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """Upsert on (taxonomy, source code): new non-null values win, metadata merges with the
-    new side on top, a touched sector is active again. Records without a code are skipped."""
+    new side on top, a touched sector is active again. Records without a code are skipped; of
+    records that repeat a key the last by ``_seq`` counts, without it the largest by code and name."""
     new = incoming.where("trim(code) <> ''")
-    new = keep_last(new, ["taxonomy", "source_code"]) if "_seq" in new.columns else new
+    order = ["_seq"] if "_seq" in new.columns else []
+    new = keep_last(new, ["taxonomy", "source_code"], [*order, "code", "name_vi"])
     key = ["taxonomy", "source_code"]
     both = current.alias("o").join(new.alias("n"), key, "full_outer")
     hit = F.col("n.code").isNotNull()

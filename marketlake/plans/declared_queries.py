@@ -141,12 +141,11 @@ def range_indicators(spark, sf_dir):
 
 
 @query("volume_indicators", with_ctes("""
-SELECT code, date, sum(coalesce(sign(ad_close - pc) * nm_volume, 0)) OVER w obv, round(CASE WHEN i >= 13 THEN sum(tp * nm_volume) OVER f / nullif(sum(nm_volume) OVER f, 0) END + 0.0000137, 4) vwap
+SELECT code, date, sum(coalesce(sign(ad_close - pc) * nm_volume, 0)) OVER w obv, floor(CASE WHEN i >= 13 THEN sum(tp * nm_volume) OVER f / nullif(sum(nm_volume) OVER f, 0) END * 10000 + 0.5) / 10000 vwap
 FROM ohlc WINDOW w AS (PARTITION BY code ORDER BY date), f AS (PARTITION BY code ORDER BY date ROWS 13 PRECEDING)""", "ohlc"))
 def volume_indicators(spark, sf_dir):
-    # prices and volumes lie on a grid: the offset keeps exact halves away from the rounding
     return osc.with_volume_measures(fixtures.eod(spark, sf_dir)).select(
-        "code", "date", "obv", F.round(F.col("vwap") + 0.0000137, 4).alias("vwap")
+        "code", "date", "obv", (F.floor(F.col("vwap") * 10000 + 0.5) / 10000).alias("vwap")
     )
 
 
