@@ -7,7 +7,7 @@
 3. In each band bucket every member is paired with the smallest one only. Pairs whose sketches rule out the threshold go, the
    others are confirmed on whole sets, and components are formed.
 4. Where a bucket still holds members of different components, those that were not compared yet are: in blocks, by sketch,
-   and only across components. What passes is confirmed on whole sets too, and components are formed from all links.
+   and only across components, then on whole sets, and components are formed from all links.
 
 A bucket of m near copies so costs m pairs, not m squared, and no cap is set on a bucket. A link at the threshold is missed by
 the bands with probability (1 - 0.8^5)^30 = 7e-6; the screen is set six standard deviations below the threshold.
@@ -24,7 +24,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+import zstandard
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from marketlake.llm.common import stored, text_or_empty, width
 from marketlake.llm.components import components
@@ -34,8 +35,10 @@ __all__ = ["BANDS", "ROWS", "drop_near_copies", "near_copies", "shingle_set", "s
 BANDS, ROWS = 30, 5
 #: Words of the odd sketch, 64 bits each.
 SKETCH_WORDS = 8
-#: Members that are compared with each other in one step of the block-wise comparison.
-BLOCK = 512
+#: Members of a block; two blocks are compared in one step.
+BLOCK = 256
+#: Bits of the bitmap that tells which texts may be wanted: 1 MB, whatever the input.
+MARKS = 1 << 23
 #: Word hashes that a task remembers before it starts afresh.
 REMEMBERED = 300_000
 
@@ -126,21 +129,46 @@ def signatures(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
     return rows.mapInArrow(over, schema)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
-    """(id, hi, set): the whole shingle sets of the wanted (id, hi)."""
-    rows = docs.select(F.col(doc_id).alias("id"), text_or_empty(text).alias("text")).join(wanted.select("id").distinct(), "id")
-    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("hi", T.LongType()), T.StructField("set", T.ArrayType(T.LongType()))])
+def _marks(wanted: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size in which every wanted id has its bit: what it rules out need not be shuffled."""
+    words = wanted.select(_slot().alias("slot")).selectExpr("shiftright(slot, 6) as word", "shiftleft(1L, cast(slot & 63 as int)) as bits")
+    out = np.zeros(MARKS // 64, np.int64)
+    for r in words.groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():
+        out[r["word"]] = r["bits"]
+    return out.view(_U)
+
+
+def _slot() -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(MARKS))
+
+
+def _packed(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
+    """(id, hi, packed): the words of the wanted (id, hi), compressed."""
+    marks = _marks(wanted)
+    rows = docs.select(F.col(doc_id).alias("id"), text_or_empty(text).alias("text")).filter("id is not null").withColumn("slot", _slot())
+    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("hi", T.LongType()), T.StructField("packed", T.BinaryType())])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict[bytes, int] = {}
+        pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
-                ids, texts = batch.slice(start, 512).columns
-                found = [shingle_set(plain, size, memory) for plain in texts.cast(pa.binary()).to_pylist()]
+                part = batch.slice(start, 512)
+                slots = part.column(2).to_numpy().astype(np.int64)
+                part = part.filter(pa.array((marks[slots >> 6] >> (slots & 63).astype(_U)) & _U(1) == 1))
+                ids, texts, _ = part.columns
+                plain = [b" ".join(t.lower().split()) for t in texts.cast(pa.binary()).to_pylist()]
+                found = [shingle_set(t, size, memory) for t in plain]
                 hi = [int(np.frombuffer(xxhash.xxh3_128_digest(x.tobytes())[:8], np.int64)[0]) if len(x) else None for x in found]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(hi, pa.int64()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=["id", "hi", "set"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(hi, pa.int64()), pa.array([pack.compress(t) for t in plain], pa.binary())], names=["id", "hi", "packed"])
+
+    return rows.mapInArrow(over, schema).join(wanted, ["id", "hi"], "left_semi").dropDuplicates(["id", "hi"])
 
-    return rows.mapInArrow(over, schema).filter("hi is not null").dropDuplicates(["id", "hi"])
+
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two ascending sets reach the similarity."""
+    shared = len(a) + len(b) - len(np.union1d(a, b))
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
 def _screen(threshold: float) -> int:
@@ -150,70 +178,80 @@ def _screen(threshold: float) -> int:
     return int(np.ceil(bits / 2 * (1 - np.exp(-4 * k * (1 - max(low, 0.0)) / bits))))
 
 
-def _differing(a: str, b: str) -> F.Column:
+def _differing(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH_WORDS)), F.lit(0))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, packed: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, a_hi, b, b_hi) whose whole sets reach the threshold, as (a, b)."""
-    left = sets.select(F.col("id").alias("a"), F.col("hi").alias("a_hi"), F.col("set").alias("a_set"))
-    right = sets.select(F.col("id").alias("b"), F.col("hi").alias("b_hi"), F.col("set").alias("b_set"))
-    both = pairs.join(right, ["b", "b_hi"]).join(left, ["a", "a_hi"])
-    shared = F.size(F.array_intersect("a_set", "b_set"))
-    return both.select("a", "b", shared.alias("i"), (F.size("a_set") + F.size("b_set")).alias("n")).filter(100 * F.col("i") >= percent * (F.col("n") - F.col("i"))).select("a", "b")
+    left = packed.select(F.col("id").alias("a"), F.col("hi").alias("a_hi"), F.col("packed").alias("a_packed"))
+    right = packed.select(F.col("id").alias("b"), F.col("hi").alias("b_hi"), F.col("packed").alias("b_packed"))
+    both = pairs.join(right, ["b", "b_hi"]).join(left, ["a", "a_hi"]).select("a", "b", "a_packed", "b_packed")
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, memory = zstandard.ZstdDecompressor(), {}
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                a, b = ([shingle_set(unpack.decompress(x), size, memory) for x in part.column(i).to_pylist()] for i in (2, 3))
+                yield part.select([0, 1]).filter(pa.array([_linked(x, y, percent) for x, y in zip(a, b)], pa.bool_()))
+
+    return both.mapInArrow(over, both.select("a", "b").schema)
+
 
+def _across(members: DataFrame, most: int, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between members (bucket, held, id, n, component, sketch, packed) of one bucket and different components.
 
-def _across(members: DataFrame, most: int, percent: int) -> DataFrame:
-    """Pairs of members (bucket, held, id, hi, n, component, sketch) of one bucket and different components that pass the screen."""
+    Blocks of a bucket are compared pair by pair, each pair in one step. Within a step a link found joins two components, and
+    what then hangs together is not compared further: at most one link for each member comes out.
+    """
     blocks = F.ceil(F.col("held") / BLOCK).cast("int")
-    placed = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id", "hi"), F.col("blocks")).cast("int"))
+    placed = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id", "n"), F.col("blocks")).cast("int"))
     spread = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = spread.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "hi", "n", "component", "sketch")
+    dealt = spread.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "component", "sketch", "packed")
     kind = members.schema["id"].dataType
-    schema = T.StructType([T.StructField("a", kind), T.StructField("a_hi", T.LongType()), T.StructField("b", kind), T.StructField("b_hi", T.LongType())])
-
-    def compared(group: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        own = np.array([g[3] for g in group])
-        first, second = group[0][1], group[0][2]
-        n, component = np.array([g[6] for g in group]), np.array([g[7] for g in group])
-        sketch = np.array([g[8] for g in group], np.int64).view(_U)
-        rows = np.flatnonzero(own == first)
-        columns = np.flatnonzero(own == second)
-        out_a, out_b = [], []
-        for r in rows:
-            c = columns[columns > r] if first == second else columns
-            c = c[component[c] != component[r]]
-            c = c[100 * np.minimum(n[c], n[r]) >= percent * np.maximum(n[c], n[r])]
-            c = c[np.bitwise_count(sketch[c] ^ sketch[r]).sum(axis=1) <= most]
-            out_a += [r] * len(c)
-            out_b += c.tolist()
-        return np.array(out_a, int), np.array(out_b, int)
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+
+    def compared(group: list[tuple], memory: dict[bytes, int]) -> Iterator[tuple]:
+        own, n = np.array([g[3] for g in group]), np.array([g[5] for g in group])
+        sketch = np.array([g[7] for g in group], np.int64).view(_U)
+        unpack, sets, root = zstandard.ZstdDecompressor(), {}, {}
+
+        def whole(r: int) -> np.ndarray:
+            if r not in sets:
+                sets[r] = shingle_set(unpack.decompress(group[r][8]), size, memory)
+            return sets[r]
+
+        def top(x: object) -> object:
+            while (y := root.get(x, x)) != x:
+                root[x] = x = root.get(y, y)
+            return x
+
+        for r in np.flatnonzero(own == group[0][1]).tolist():
+            others = np.flatnonzero(own == group[0][2])
+            others = others[others > r] if group[0][1] == group[0][2] else others
+            others = others[100 * np.minimum(n[others], n[r]) >= percent * np.maximum(n[others], n[r])]
+            for c in others[np.bitwise_count(sketch[others] ^ sketch[r]).sum(axis=1) <= most].tolist():
+                here, there = top(group[r][6]), top(group[c][6])
+                if here != there and _linked(whole(r), whole(c), percent):
+                    root[here] = there
+                    yield group[r][4], group[c][4]
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
-
-        def made() -> pa.RecordBatch | None:
-            if len(group) < 2:
-                return None
-            a, b = compared(group)
-            if not len(a):
-                return None
-            ordered = [(group[x], group[y]) if group[x][4] <= group[y][4] else (group[y], group[x]) for x, y in zip(a, b)]
-            return pa.RecordBatch.from_pylist([{"a": x[4], "a_hi": x[5], "b": y[4], "b_hi": y[5]} for x, y in ordered], schema=fields[0])
-
-        fields: list[pa.Schema] = []
+        memory: dict[bytes, int] = {}
         for batch in batches:
-            if not fields:
-                kind = batch.schema.field("id").type
-                fields.append(pa.schema([("a", kind), ("a_hi", pa.int64()), ("b", kind), ("b_hi", pa.int64())]))
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if group and group[0][:3] != row[:3]:
-                    if (out := made()) is not None:
-                        yield out
-                    group.clear()
-                group.append(row)
-        if (out := made()) is not None:
-            yield out
+            kind, out = batch.schema.field("id").type, []
+            for start in range(0, batch.num_rows, 64):
+                for row in zip(*(c.to_pylist() for c in batch.slice(start, 64).columns)):
+                    if group and group[0][:3] != row[:3]:
+                        out += compared(group, memory)
+                        group.clear()
+                    group.append(row)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in zip(*out)], names=["a", "b"])
+        if group and (out := list(compared(group, memory))):
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in zip(*out)], names=["a", "b"])
 
     placed_rows = dealt.repartition(width(members.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     return placed_rows.mapInArrow(over, schema).distinct()
@@ -244,8 +282,8 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     near = stars.join(facts("b"), ["b", "b_hi"]).join(facts("a"), ["a", "a_hi"])
     alike = (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (_differing("a_sketch", "b_sketch") <= most)
     pairs = stored(near.filter(alike).select("a", "a_hi", "b", "b_hi"))
-    sets = stored(_sets(docs, _ends(pairs), doc_id, text, size))
-    links = stored(_confirmed(pairs, sets, percent))
+    packed = stored(_packed(docs, _ends(pairs), doc_id, text, size))
+    links = stored(_confirmed(pairs, packed, size, percent))
 
     # ids that come with several sets tie those together
     several = named.select("id", "hi", "lo").join(sets_of.select("hi", "lo", F.col("id").alias("first")), ["hi", "lo"]).groupBy("id").agg(F.min("first").alias("a"), F.max("first").alias("b"), F.count_distinct("first").alias("k")).filter("k > 1")
@@ -253,15 +291,18 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     tied = tied.union(several.select("a", "b"))
     found = components(links.union(tied))
 
-    # step 4: what a bucket still holds apart
+    # step 4: what a bucket still holds apart; of buckets with the same members one is enough
     apart = members.filter("held > 2").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    split = apart.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-    left = apart.join(split, "bucket").join(light, ["id", "hi"]).select("bucket", "held", "id", "hi", "n", "component", "sketch")
-    more = stored(_across(left, most, percent).join(pairs, ["a", "a_hi", "b", "b_hi"], "left_anti"))
-    if more.limit(1).count():
-        missing = _ends(more).join(sets.select("id", "hi"), ["id", "hi"], "left_anti")
-        extra = stored(_sets(docs, missing, doc_id, text, size))
-        links = stored(links.union(_confirmed(more, sets.union(extra).dropDuplicates(["id", "hi"]), percent)))
+    split = apart.groupBy("bucket").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"), F.sum(F.xxhash64("id", "hi").cast("decimal(38,0)")).alias("whose")
+    ).filter("low < high").groupBy("m", "whose").agg(F.min("bucket").alias("bucket")).select("bucket")
+    left = stored(apart.join(split, "bucket").select("bucket", "held", "id", "hi", "component"))
+    if left.limit(1).count():
+        wanted = left.select("id", "hi").distinct()
+        missing = stored(wanted.join(packed.select("id", "hi"), ["id", "hi"], "left_anti"))
+        extra = stored(_packed(docs, missing, doc_id, text, size))
+        full = left.join(light, ["id", "hi"]).join(packed.union(extra), ["id", "hi"]).select("bucket", "held", "id", "n", "component", "sketch", "packed")
+        links = stored(links.union(_across(full, most, size, percent)).distinct())
         found = components(links.union(tied))
 
     degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("n_links"))
