@@ -39,7 +39,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' ids, with digests of the ids and of the bytes that they decode to."""
     vocabulary = bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return bpe.digests(bpe.encode(docs.select("doc_id", "source", "text"), vocabulary), vocabulary).select(
+    encoded = bpe.encode(docs.select("doc_id", "source", "text"), vocabulary)
+    return bpe.digests(encoded.select("doc_id", "source", "ids"), vocabulary).select(
         "doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256", "ids"
     )
 

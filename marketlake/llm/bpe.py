@@ -15,6 +15,7 @@ each. Special tokens are ordinary text. Other columns pass through.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from marketlake.llm.common import stored, text_or_empty, width
 
-__all__ = ["CHUNK", "Vocabulary", "decode", "digests", "encode", "id_text"]
+__all__ = ["CHUNK", "Vocabulary", "decode", "digests", "encode"]
 
 #: Code points of a chunk, and of the overlap with the next one.
 CHUNK, OVERLAP = 32_768, 512
@@ -161,14 +162,21 @@ def decode(ids: Column, vocabulary: Vocabulary) -> Column:
     return F.pandas_udf(over, "binary")(ids)
 
 
-def id_text(ids: Column) -> Column:
-    """The ids as decimal numbers, a blank between each two."""
-    return F.array_join(ids.cast("array<string>"), " ")
-
-
 def digests(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Adds n_tokens, ids_sha256 (of the ids as text) and decoded_sha256 (of the decoded bytes)."""
-    return encoded.select(
-        "*", F.size("ids").cast("long").alias("n_tokens"), F.sha2(id_text(F.col("ids")).cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(decode(F.col("ids"), vocabulary), 256).alias("decoded_sha256"),
-    )
+    """Adds n_tokens, ids_sha256 (of the ids as decimal numbers, a blank between each two) and decoded_sha256 (of the decoded bytes)."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("ids")
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                n, told, back = [], [], []
+                for ids in part.column(at):
+                    ids = ids.as_py() or []
+                    n.append(len(ids))
+                    told.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+                    back.append(hashlib.sha256(vocabulary.decode(ids)).hexdigest())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n, pa.int64()), pa.array(told), pa.array(back)], names=[*part.schema.names, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    return encoded.mapInArrow(over, T.StructType([*encoded.schema.fields, *added]))

@@ -82,7 +82,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     encoded = bpe.encode(read_documents(spark, sf_dir).select("doc_id", "text"), vocabulary)
-    return bpe.digests(encoded, vocabulary).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.digests(encoded.select("doc_id", "ids"), vocabulary).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
