@@ -5,7 +5,8 @@ Poisson number of times with that mean: the inverse distribution function is rea
 document's id, so that a document's count depends on nothing else and a rerun repeats it. Copies are then shuffled globally:
 they are ordered by a hash of seed, id and copy over range partitions.
 
-One small table per source is joined (by its size, Spark sends it to every task or shuffles); no group is gathered.
+One small table of the sources is joined: up to ``FEW_SOURCES`` rows are sent to every task, so that a source with a third of
+all rows stays spread as it was read; no group is gathered.
 
 Defined cases: null texts and empty texts have no code points; a source without code points keeps its rate at 1; a source that
 ``weights`` does not name gets none. A null source is a source of its own, a null id is hashed as such. Rows that repeat are
@@ -18,11 +19,13 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from marketlake.llm.common import text_or_empty, width
+from marketlake.llm.common import stored, text_or_empty, width
 
 __all__ = ["SEED", "mixed", "rates"]
 
 SEED = 17
+#: A table of at most so many sources (1.5 KB each at most) is sent to every task; a longer one is joined by shuffling.
+FEW_SOURCES = 2_000
 #: Rates above this are drawn as sums of several draws, as the first probability would vanish.
 LARGEST_RATE = 64.0
 
@@ -71,6 +74,9 @@ def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, se
         F.sequence(F.lit(0), F.col("_draws") - 1), F.lit(0),
         lambda s, k: s + F.size(F.filter("_steps", lambda step: step <= _uniform(seed, F.col(f"_row.{doc_id}"), k))),
     )
+    table = stored(table)
+    if table.count() <= FEW_SOURCES:
+        table = F.broadcast(table)
     rows = docs.select(F.struct("*").alias("_row"))
     counted = rows.join(table, F.col(f"_row.{source}").eqNullSafe(F.col("_source"))).select("_row", drawn.alias("_n")).filter("_n > 0")
     copies = counted.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy"))
