@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from marketlake.session import cut_lineage
 
-__all__ = ["arrow_map", "held_out", "read_documents", "read_table", "stored", "text_or_empty", "width"]
+__all__ = ["arrow_map", "held_out", "read_documents", "read_table", "release", "stored", "text_or_empty", "width"]
 
 #: One Arrow batch is taken apart into pieces of at most this many rows, so that Python holds few texts at once.
 BATCH_ROWS = 512
@@ -38,6 +38,11 @@ def stored(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def release() -> None:
+    """Hand freed Arrow memory back: a worker outlives its task, and what it holds counts against the executor."""
+    pa.default_memory_pool().release_unused()
+
+
 def width(spark: SparkSession) -> int:
     """How many partitions a shuffle has in this session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

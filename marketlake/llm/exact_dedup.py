@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from marketlake.llm.common import stored, text_or_empty, width
+from marketlake.llm.common import release, stored, text_or_empty, width
 
 __all__ = ["build_index", "directory", "drop_exact_copies", "exact_copies"]
 
@@ -66,6 +66,7 @@ def _entries(docs: DataFrame, doc_id: str, text: str, key_of: KeyOf) -> DataFram
                     [ids, pa.array([key_of(b) for b in plain], pa.int64()), pa.array([hashlib.sha256(b).digest() for b in plain], pa.binary()), pc.utf8_length(texts).cast(pa.int32())],
                     names=["id", "key", "sha", "n"],
                 )
+                release()
 
     return rows.mapInArrow(over, schema)
 
@@ -99,9 +100,10 @@ def _chains(docs: DataFrame, text: str, depth: int, key_of: KeyOf) -> DataFrame:
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 4096):
-                texts = sorted(set(_normal(batch.slice(start, 4096).column(0))))
+            for start in range(0, batch.num_rows, 2048):
+                texts = sorted(set(_normal(batch.slice(start, 2048).column(0))))
                 yield pa.RecordBatch.from_arrays([pa.array([key_of(b) for b in texts], pa.int64()), pa.array(texts, pa.binary())], names=["key", "plain"])
+                release()
 
     def owner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: int | None = None

@@ -27,7 +27,7 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from marketlake.llm.common import stored, text_or_empty, width
+from marketlake.llm.common import release, stored, text_or_empty, width
 from marketlake.llm.components import components
 
 __all__ = ["BANDS", "ROWS", "drop_near_copies", "near_copies", "shingle_set", "signatures"]
@@ -40,7 +40,7 @@ BLOCK = 256
 #: Bits of the bitmap that tells which texts may be wanted: 1 MB, whatever the input.
 MARKS = 1 << 23
 #: Word hashes that a task remembers before it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 50_000
 
 _U = np.uint64
 _PRIME, _MIX1, _MIX2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -125,6 +125,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
                     ids, pa.array(n, pa.int64()), pa.array([None if d is None else int(d[0]) for d in digests], pa.int64()),
                     pa.array([None if d is None else int(d[1]) for d in digests], pa.int64()), pa.array(bands, longs), pa.array(sketches, longs),
                 ], names=["id", "n", "hi", "lo", "bands", "sketch"])
+                release()
 
     return rows.mapInArrow(over, schema)
 
@@ -161,6 +162,7 @@ def _packed(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, size: in
                 found = [shingle_set(t, size, memory) for t in plain]
                 hi = [int(np.frombuffer(xxhash.xxh3_128_digest(x.tobytes())[:8], np.int64)[0]) if len(x) else None for x in found]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(hi, pa.int64()), pa.array([pack.compress(t) for t in plain], pa.binary())], names=["id", "hi", "packed"])
+                release()
 
     return rows.mapInArrow(over, schema).join(wanted, ["id", "hi"], "left_semi").dropDuplicates(["id", "hi"])
 
@@ -195,6 +197,7 @@ def _confirmed(pairs: DataFrame, packed: DataFrame, size: int, percent: int) ->
                 part = batch.slice(start, 256)
                 a, b = ([shingle_set(unpack.decompress(x), size, memory) for x in part.column(i).to_pylist()] for i in (2, 3))
                 yield part.select([0, 1]).filter(pa.array([_linked(x, y, percent) for x, y in zip(a, b)], pa.bool_()))
+                release()
 
     return both.mapInArrow(over, both.select("a", "b").schema)
 

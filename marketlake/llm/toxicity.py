@@ -30,7 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from marketlake.llm.common import held_out, stored, text_or_empty
+from marketlake.llm.common import held_out, release, stored, text_or_empty
 
 __all__ = ["MOST_LABELLED", "Model", "drop_toxic", "fit", "scores"]
 
@@ -48,7 +48,7 @@ STEPS = [(j, k) for j in range(1, SPAN) for k in range(1, SPAN) if j + k <= SPAN
 #: Symbols, and the code of what separates words; codes 1 to 26 are a to z, 27 to 58 other letters, 59 is a digit.
 SYMBOLS, LEFT_OUT = 64, 255
 #: Characters that are worked on at once; a run of so many without a blank is read as several words.
-SLICE = 250_000
+SLICE = 120_000
 #: Value of a word that a document lacks.
 ABSENT = -3.0
 
@@ -365,6 +365,7 @@ def scores(text: Column, model: Model) -> Column:
         for part in parts:
             texts = part.fillna("").tolist()
             yield pd.Series(model.score(texts, table), dtype=float)
+            release()
 
     over.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(over, "double")(text)
