@@ -320,8 +320,13 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Field:
     """The field that the fixed patterns' findings teach, by gradient steps on at most ``STRETCHES`` stretches."""
     own = F.coalesce(F.col(text).cast("string"), F.lit(""))
     shown = own.rlike(r"@[A-Za-z0-9-]+\.|[0-9]{4}[ -]?[0-9]{4}|[0-9]+\.[0-9]+\.[0-9]+\.[0-9]|\+[0-9][ (0-9]")
-    some = docs.select(own.alias("text")).filter(shown & (F.char_length("text") < 20_000)).select("text", F.xxhash64("text").alias("at")).orderBy("at").limit(sample)
-    examples = _examples([r["text"] for r in some.collect()])
+    some = docs.select(own.alias("text")).filter(shown & (F.char_length("text") < 20_000)).select("text", F.xxhash64("text").alias("at"))
+    # the texts with the smallest hashes: only hashes are ordered, then these texts alone are fetched
+    last = some.select("at").distinct().orderBy("at").limit(sample).agg(F.max("at")).first()[0]
+    if last is None:
+        return Field(None, None)
+    chosen = some.filter(F.col("at") <= last).dropDuplicates(["at"]).collect()
+    examples = _examples([r["text"] for r in sorted(chosen, key=lambda r: r["at"])])
     if not examples:
         return Field(None, None)
     field = Field(np.zeros((_WIDTH, 5)), np.zeros((5, 5)))
