@@ -135,3 +135,114 @@ def test_odd_rows(odd, empty, docs):
     for scan in (licenses.scan, secrets.find_secrets, lambda d: pii.find_pii(d, field=pii.Field(None, None))):
         assert scan(odd).count() == 13 and scan(empty).count() == 0
     assert pii.fit(empty).weights is None and pii.find_pii(empty).count() == 0
+
+
+APACHE = """Copyright 2020 A. N. Author
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+MIT = """MIT License
+
+Copyright (c) 2020 A. N. Author
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD_2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_3 = BSD_2 + """
+3. Neither the name of Some University, Inc. nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+BSD_END = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES.
+"""
+GPL_3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+GPL_2 = GPL_3.replace("software: you", "software; you").replace("Foundation, either version 3", "Foundation; either version 2")
+
+
+def test_verbatim_wrapped_licenses(spark):
+    want = {
+        APACHE: ("ApacheRef,ApacheComply,ApacheCopy,ApacheSee", "Apache-2.0"), MIT: ("MitGrant,MitNotice,AsIs", "MIT"),
+        BSD_2 + BSD_END: ("BsdPre,BsdSource,BsdBinary", "BSD-2-Clause"), BSD_3 + BSD_END: ("BsdPre,BsdSource,BsdBinary,BsdNotEndorsed", "BSD-3-Clause"),
+        ISC: ("IscGrantNotice,Disclaims", "ISC"), GPL_3: ("Gpl3Ref,GplReceived", "GPL-3.0"), GPL_2: ("Gpl2Ref,GplReceived", "GPL-2.0"),
+        "SPDX-License-Identifier: MIT": ("SpdxMit", "MIT"), "SPDX-License-Identifier: GPL-2.0-or-later": ("SpdxGPL20", "GPL-2.0"),
+    }
+    frames = ("", ""), ("// ", ""), ("# ", ""), (" * ", ""), ("    ", ""), ("", "\r")
+    rows, expected = [], []
+    for text, named in want.items():
+        for before, after in frames:
+            rows.append((len(rows), "\n".join((before + line).rstrip(" ") + after for line in text.rstrip("\n").split("\n"))))
+            expected.append((*named, 1, ""))
+        for opened, closed in (("/*\n", " */"), ("/* ", " */"), ("<!-- ", " -->"), ("Words before***\n", "\nwords after")):
+            rows.append((len(rows), opened + text.rstrip("\n") + closed))
+            expected.append((*named, 1, ""))
+    rows += [(len(rows), "It was said that it is not licensed under the MIT license."), (len(rows) + 1, "spdx-license-identifier: mitten")]
+    expected += [("", "", 0, "")] * 2
+    got = sorted(tuple(r) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [r[1:] for r in got] == expected
+
+
+def test_every_whole_sentence_is_telling_and_normal(spark):
+    assert all(any(t in s for t in licenses.TELLING) for s in licenses.WHOLE_SENTENCES)
+    frame = spark.createDataFrame([(s,) for s in licenses.WHOLE_SENTENCES], "s string")
+    assert all(r[0] == r[1] for r in frame.select("s", licenses.normal(frame["s"])).collect())
+    assert {i for _, seq in licenses.WHOLE_RULES for i in seq} <= set((licenses.SENTENCES | licenses.WHOLE_SENTENCES).values())
