@@ -1,18 +1,22 @@
 """Document fingerprints by I-Match, and how well they survive an edit.
 
 Terms are the words of a text, A-Z as a-z. Only terms whose document frequency lies in a band count: at least ``LEAST_DF``
-documents, at most the share ``MOST_SHARE`` of all (so in a band of inverse document frequency). A lexicon is a random subset
+documents, at most the share ``MOST_SHARE`` of all (so in a band of inverse document frequency). A term above that share stays
+when copies alone bring it there: at least half of its documents repeat texts, and of the distinct texts at most the share has
+it. A lexicon is a random subset
 of the terms, chosen by their hash; of each lexicon's terms that a text has, sorted and distinct, a hash is kept. ``LEXICONS``
 lexicons at each of several sampling levels: level m holds one in ``LEXICONS * 2**m`` terms a lexicon, each level within the one
 before it. A text's fingerprint starts at the level at which its lexicons hold one or two of its terms each, whatever its
-length, and goes ``DEPTH`` levels further, so that texts of different lengths meet at a common level.
+length, and goes ``DEPTH`` levels further, so that texts of different lengths meet at a common level. Where a text or its edited
+form has terms in the band and none of them in a lexicon at that level, both start lower, at the level that fits the fewer of
+their terms in the band.
 
 The likeness of two fingerprints is the share of lexicons, at the finest level that both have, on which they agree, among
 those of which either has a term; 0 where there is none.
 
 Every text's edited form takes the head of the next document, so documents are dealt by ranges of the id, sorted, and read in
-a stream that holds two texts; each range also gets the first document of the next. Texts travel once, compressed; otherwise
-only term hashes do.
+a stream that holds two texts; each range also gets the first document of the next. Texts travel once, compressed, and once
+more if there are texts that start lower; otherwise only term hashes and digests do.
 
 Defined cases: a null text counts as empty; a text without terms in the band has an empty fingerprint and likeness 0 to all.
 Ids that are null come first; of equal ids the order is that of the texts' digests; rows that repeat follow each other. A
@@ -44,6 +48,8 @@ LEAST_DF, MOST_SHARE = 2, 0.1
 REMEMBERED = 300_000
 
 _BITS = int(math.log2(LEXICONS))
+#: Bits of the bitmaps that go to every task: 1 MB.
+_SLOTS = 1 << 23
 
 
 def _terms(text: bytes, memory: dict[bytes, int]) -> np.ndarray:
@@ -81,6 +87,73 @@ def frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.mapInArrow(over, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
 
+def _slot(low: int) -> int:
+    return low & (_SLOTS - 1)
+
+
+def _bitmap(slots: DataFrame) -> np.ndarray:
+    """Bits of the slots (column ``slot``), in a fixed size whatever the input."""
+    out = np.zeros(_SLOTS // 8, np.uint8)
+    words = slots.selectExpr("shiftright(slot, 3) as word", "shiftleft(1, cast(slot & 7 as int)) as bits")
+    for r in words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
+        out[r["word"]] = r["bits"]
+    return out
+
+
+def _by_copies(docs: DataFrame, text: str, frequent: dict[int, int], total: int) -> list[int]:
+    """Those of the frequent terms that copies alone make frequent."""
+    rows = docs.select(text_or_empty(text).alias("text"))
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                found: dict[bytes, int] = {}
+                for plain in batch.slice(start, 1024).column(0).cast(pa.binary()).to_pylist():
+                    digest = xxhash.xxh3_128_digest(plain)
+                    found[digest] = found.get(digest, 0) + 1
+                yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], names=["digest", "n"])
+
+    repeated = stored(rows.mapInArrow(digests, "digest binary, n long").groupBy("digest").agg(F.sum("n").alias("n")).filter("n > 1"))
+    more = repeated.agg(F.sum(F.col("n") - 1)).first()[0] or 0
+    # a term above the share that half of its documents repeat has that many repeats
+    if 2 * more < MOST_SHARE * total:
+        return []
+    bits = _bitmap(repeated.select((F.conv(F.hex(F.substring("digest", 9, 8)), 16, -10).cast("long").bitwiseAND(_SLOTS - 1)).alias("slot")))
+    known = np.array(list(frequent), np.int64)
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory, seen = {}, set()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                keys, values = [], []
+                for plain in batch.slice(start, 1024).column(0).cast(pa.binary()).to_pylist():
+                    digest = xxhash.xxh3_128_digest(plain)
+                    slot = _slot(int.from_bytes(digest[8:], "big"))
+                    if bits[slot >> 3] >> (slot & 7) & 1 and digest not in seen:
+                        if len(seen) > REMEMBERED:
+                            seen.clear()
+                        seen.add(digest)
+                        keys.append(digest)
+                        values.append(np.intersect1d(_terms(plain, memory), known))
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(values, pa.list_(pa.int64()))], names=["digest", "terms"])
+
+    texts = rows.mapInArrow(terms, "digest binary, terms array<long>").groupBy("digest").agg(F.first("terms").alias("terms")).join(repeated, "digest")
+    extra = {r["term"]: r["n"] for r in texts.select(F.explode("terms").alias("term"), (F.col("n") - 1).alias("n")).groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    most = max(LEAST_DF, MOST_SHARE * (total - more))
+    return [t for t, n in extra.items() if frequent[t] - n <= most and 2 * n >= frequent[t]]
+
+
+def _band(docs: DataFrame, text: str, total: int) -> DataFrame:
+    """(term): the terms in the band."""
+    counted = stored(frequencies(docs, text).filter(F.col("df") >= LEAST_DF))
+    most = max(LEAST_DF, MOST_SHARE * total)
+    # bounded by the mean number of a text's terms over the share
+    frequent = {r["term"]: r["df"] for r in counted.filter(F.col("df") > most).collect()}
+    kept = _by_copies(docs, text, frequent, total) if frequent else []
+    return counted.filter((F.col("df") <= most) | F.col("term").isin(kept)).select("term")
+
+
 def edited(text: str, following: str) -> str:
     """The text with its last quarter of code points replaced by as many from the start of the following text, or all."""
     k = len(text) // 4
@@ -97,13 +170,14 @@ def _ranges(docs: DataFrame, doc_id: str, parts: int) -> tuple[list, list, list]
     return cuts, [r["part"] for r in first], [None if r["nameless"] else r["least"] for r in first]
 
 
-def _streamed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _streamed(docs: DataFrame, doc_id: str, text: str, ranges: tuple[list, list, list], wanted: np.ndarray | None = None) -> DataFrame:
     """(row, term, here, there, id, n, sha, next): a row per sampled term of a text or its edited form, and one with the text's facts.
 
-    ``row`` numbers the texts in id order, ``next`` is the following text's number, and ``level`` where the samples start.
+    ``row`` numbers the texts in id order, ``next`` is the following text's number, and ``la`` and ``lb`` where the samples start.
+    With a bitmap of wanted rows: all terms of these, and nothing of others.
     """
     parts = width(docs.sparkSession)
-    cuts, used, firsts = _ranges(docs, doc_id, parts)
+    cuts, used, firsts = ranges
     order = {p: i for i, p in enumerate(used)}
     before = {first: used[i - 1] for i, first in enumerate(firsts)}  # the range that also needs a range's first document
     bounds = np.array(cuts, np.int64)
@@ -130,11 +204,14 @@ def _streamed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         columns: tuple[list, ...] = tuple([] for _ in range(10))
 
         def put(one: tuple, following: str, number: int, after: int) -> None:
+            slot = _slot(xxhash.xxh3_64_intdigest(number.to_bytes(8, "big")))
+            if wanted is not None and not wanted[slot >> 3] >> (slot & 7) & 1:
+                return
             plain = one[2].decode("utf-8", "surrogatepass")
             changed = edited(plain, following)
             a, b = _terms(one[2], memory), _terms(changed.encode("utf-8", "surrogatepass"), memory)
             la, lb = _level(len(a)), _level(len(b))
-            sa, sb = _sampled(a, la), _sampled(b, lb)
+            sa, sb = (_sampled(a, la), _sampled(b, lb)) if wanted is None else (a, b)
             terms = np.union1d(sa, sb)
             digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
             facts = ((number ^ 0x5DEECE66D) * 0x9E3779B97F4A7C15) % (1 << 62), True, True, one[1], len(plain), digest, la, lb, after
@@ -173,12 +250,12 @@ def _streamed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return ranged.mapInArrow(streamed, "row long, term long, here boolean, there boolean, id long, n long, sha string, la int, lb int, next long")
 
 
-def _print(hashes: np.ndarray, level: int) -> str:
+def _print(hashes: np.ndarray, level: int, last: int | None = None) -> str:
     """Level by level the lexicons' hashes: ``level:h,h,...`` joined by semicolons; a lexicon without terms leaves its place empty."""
     if not len(hashes):
         return ""
     out = []
-    for at in range(level, level + DEPTH + 1):
+    for at in range(level, (level if last is None else last) + DEPTH + 1):
         found = np.sort(_sampled(hashes, at))
         own = found & (LEXICONS - 1)
         out.append(f"{at}:" + ",".join(xxhash.xxh3_64_hexdigest(found[own == s].tobytes())[:8] if (own == s).any() else "" for s in range(LEXICONS)))
@@ -200,18 +277,40 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     total = docs.count()
     if not total:
         return docs.select(F.col(doc_id), *(F.lit(None).cast(t).alias(c) for c, t in (("n_chars", "long"), ("edited_sha256", "string"), ("fingerprint", "string"), ("edited_fingerprint", "string"), ("near_edited", "double"), ("near_next", "double"))))
-    band = frequencies(docs, text).filter((F.col("df") >= LEAST_DF) & (F.col("df") <= max(LEAST_DF, MOST_SHARE * total))).select("term")
-    found = _streamed(docs, doc_id, text).join(band.withColumn("known", F.lit(True)), "term", "left").filter("known or n is not null")
-    facts = [F.max(c).alias(c) for c in ("id", "n", "sha", "la", "lb", "next")]
-    kept = found.groupBy("row").agg(*facts, F.collect_list(F.when(F.col("n").isNull() & F.col("here"), F.col("term"))).alias("a"), F.collect_list(F.when(F.col("n").isNull() & F.col("there"), F.col("term"))).alias("b"))
+    band, ranges = _band(docs, text, total).withColumn("known", F.lit(True)), _ranges(docs, doc_id, width(docs.sparkSession))
 
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def over(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = ([_print(np.array(x, np.int64), level) for x, level in zip(batch[c].to_pylist(), batch[at].to_pylist())] for c, at in (("a", "la"), ("b", "lb")))
-            near = [likeness(x, y) for x, y in zip(a, b)]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("row", "next", "id", "n", "sha")), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(near, pa.float64())], names=["row", "next", "id", "n", "sha", "fingerprint", "edited_fingerprint", "near_edited"])
-
-    made = stored(kept.mapInArrow(over, "row long, next long, id long, n long, sha string, fingerprint string, edited_fingerprint string, near_edited double"))
+            a, b, near, lacking, slots = [], [], [], [], []
+            for row, x, y, la, lb in zip(*(batch[c].to_pylist() for c in ("row", "a", "b", "la", "lb"))):
+                first, second = np.array(x, np.int64), np.array(y, np.int64)
+                lacks = bool(la and not len(_sampled(first, la)) or lb and not len(_sampled(second, lb)))
+                low = min([_level(len(z)) for z in (first, second) if len(z)], default=max(la, lb))
+                if whole and lacks:
+                    a.append(_print(first, min(low, la), la))
+                    b.append(_print(second, min(low, lb), lb))
+                else:
+                    a.append(_print(_sampled(first, la), la))
+                    b.append(_print(_sampled(second, lb), lb))
+                near.append(likeness(a[-1], b[-1]))
+                lacking.append(lacks)
+                slots.append(_slot(xxhash.xxh3_64_intdigest(row.to_bytes(8, "big"))))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch[c] for c in ("row", "next", "id", "n", "sha")), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(near, pa.float64()), pa.array(lacking, pa.bool_()), pa.array(slots, pa.int64())],
+                names=["row", "next", "id", "n", "sha", "fingerprint", "edited_fingerprint", "near_edited", "lacks", "slot"],
+            )
+
+    def printed(wanted: np.ndarray | None = None) -> DataFrame:
+        found = _streamed(docs, doc_id, text, ranges, wanted).join(band, "term", "left").filter("known or n is not null")
+        facts = [F.max(c).alias(c) for c in ("id", "n", "sha", "la", "lb", "next")]
+        kept = found.groupBy("row").agg(*facts, F.collect_list(F.when(F.col("n").isNull() & F.col("here"), F.col("term"))).alias("a"), F.collect_list(F.when(F.col("n").isNull() & F.col("there"), F.col("term"))).alias("b"))
+        return stored(kept.mapInArrow(lambda batches: over(batches, wanted is not None), "row long, next long, id long, n long, sha string, fingerprint string, edited_fingerprint string, near_edited double, lacks boolean, slot long"))
+
+    made = printed()
+    lacking = made.filter("lacks").select("slot")
+    if not lacking.isEmpty():
+        lower = printed(_bitmap(lacking))
+        made = made.filter("not lacks").unionByName(lower.filter("lacks"))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

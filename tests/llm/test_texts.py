@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 
 import public_tokenizers
@@ -71,6 +72,29 @@ def test_fingerprints_against_brute_force(docs):
         assert edited > 0.3 and following < 0.1
 
 
+def test_copies_keep_their_fingerprints(spark):
+    rng = random.Random(5)
+    words = [f"word{i}" for i in range(4000)]
+    copied = " ".join(rng.sample(words, 120))
+    rows = [(i, copied if i % 3 == 0 else " ".join(rng.sample(words, 120))) for i in range(300)]
+    rows.append((299_000, copied))
+    rows.append((299_001, copied))
+    got = fingerprint_rows(spark.createDataFrame(rows, "doc_id long, text string"))
+    groups = {own for (i, own, _), (_, t) in zip(got, rows) if t == copied}
+    assert len(groups) == 1 and groups != {""}
+    assert sum(r["near_edited"] for (*_, r), (_, t) in zip(got, rows) if t == copied) / 102 > 0.2
+    assert next(r["near_next"] for i, _, r in got if i == 299_000) == 1
+
+
+def test_terms_outside_the_lexicons_at_the_first_level(spark):
+    level = imatch._level(1000)
+    shared = [w for w in (f"shared{i}" for i in range(60)) if not len(imatch._sampled(imatch._terms(w.encode(), {}), level))][:20]
+    rows = [(k, " ".join(shared + [f"own{k}x{i}" for i in range(980)])) for k in range(2)] + [(9 + i, f"other{i}") for i in range(40)]
+    got = {i: r for i, _, r in fingerprint_rows(spark.createDataFrame(rows, "doc_id long, text string"))}
+    assert got[0]["fingerprint"] == got[1]["fingerprint"] != "" and got[0]["near_next"] == 1
+    assert got[0]["edited_fingerprint"] and got[0]["near_edited"] > 0 and got[9]["fingerprint"] == ""
+
+
 def test_fingerprints_of_odd_rows(odd, empty):
     rows = imatch.fingerprints(odd).collect()
     assert len(rows) == 13 and all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in rows)
