@@ -218,6 +218,25 @@ def sector_records_merge(spark, sf_dir):
     )
 
 
+_RECORDS = """
+  SELECT lv1 sector_code, 1 taxonomy_level, icbLv1Code source_code, icbLv1NameVi name_vi, code, s_suppkey FROM normal WHERE lv1 IS NOT NULL UNION ALL
+  SELECT lv2, 2, icbLv2Code, icbLv2NameVi, code, s_suppkey FROM normal WHERE lv2 IS NOT NULL UNION ALL
+  SELECT upper(replace(w.raw3, ' ', '_')) || '_AND_CO_OP', 3, w.icbLv3Code, 'VI ' || w.raw3, n.code, n.s_suppkey
+  FROM normal n JOIN wide w ON w.symbol = n.code WHERE w.raw3 IS NOT NULL"""
+
+
+@query("sector_records_merge_levels", with_ctes(f"""
+SELECT sector_code, taxonomy_level::bigint taxonomy_level, min_by(source_code, s_suppkey) source_code, min_by(name_vi, s_suppkey) name_vi,
+  max_by(code, s_suppkey) last_symbol FROM ({_RECORDS})
+GROUP BY sector_code, taxonomy_level""", "normal", "wide"))
+def sector_records_merge_levels(spark, sf_dir):
+    """``sector_records_merge`` with the records of every level."""
+    merged = tax.merged_sector_records(tax.sector_records(_normalized(spark, sf_dir)))
+    return merged.select(
+        "sector_code", big("taxonomy_level"), "source_code", "name_vi", F.col("meta")["sourceSymbolCode"].alias("last_symbol")
+    )
+
+
 @query("sectors_upsert", with_ctes("""
 SELECT coalesce(m.sector_code, t.code) code, coalesce(m.name_vi, t.name_vi) name_vi, coalesce(m.source_code, t.source_code) source_code,
   m.source_code IS NOT NULL OR t.is_active is_active, t.region, CASE WHEN m.source_code IS NULL THEN 'stored' ELSE 'sync-symbols' END origin
@@ -234,6 +253,26 @@ def sectors_upsert(spark, sf_dir):
     )
 
 
+@query("sectors_upsert_levels", with_ctes(f"""
+SELECT coalesce(m.sector_code, t.code) code, coalesce(m.name_vi, t.name_vi) name_vi, coalesce(m.source_code, t.source_code) source_code,
+  m.source_code IS NOT NULL OR t.is_active is_active, coalesce(m.taxonomy_level, 2)::bigint taxonomy_level, t.region,
+  CASE WHEN m.source_code IS NULL THEN 'stored' ELSE 'sync-symbols' END origin
+FROM (SELECT n_name code, 'VI ' || n_name name_vi, 'N' || n_nationkey source_code, n_regionkey <> 3 is_active, n_regionkey::varchar region FROM nation) t
+FULL JOIN (SELECT source_code, max(sector_code) sector_code, max_by(name_vi, sector_code) name_vi, max_by(taxonomy_level, sector_code) taxonomy_level
+  FROM ({_RECORDS}) GROUP BY source_code) m
+ON m.source_code = t.source_code""", "normal", "wide"))
+def sectors_upsert_levels(spark, sf_dir):
+    """``sectors_upsert`` with the records of every level; of sectors that share a source code the largest code counts."""
+    merged = tax.merged_sector_records(tax.sector_records(_normalized(spark, sf_dir)))
+    renamed = F.transform_keys("meta", lambda k, _: F.when(k == "source", "origin").otherwise(k))
+    incoming = merged.withColumn("meta", renamed).withColumnRenamed("sector_code", "code")
+    out = tax.upsert_sectors(src.sector_table(spark, sf_dir), incoming)
+    return out.select(
+        "code", "name_vi", "source_code", "is_active", big("taxonomy_level"), F.col("meta")["region"].alias("region"),
+        F.col("meta")["origin"].alias("origin")
+    )
+
+
 @query("active_sector_mappings", """
 SELECT 'ICB' taxonomy, 2::bigint AS level, 'N' || n_nationkey source_code, n_name canonical_code FROM nation WHERE n_regionkey <> 3""")
 def active_sector_mappings(spark, sf_dir):

@@ -174,3 +174,11 @@ def test_transition_outcomes(spark):
     legacy = predicted.drop("from_sector", "to_sector", "target_date").withColumnRenamed("horizon_sessions", "horizon")
     old = tr.outcomes(legacy, history, request).collect()
     assert old and all(r.target_date == r.resolved_date and r.from_sector == r.to_sector for r in old)
+
+
+def test_sector_records_of_every_level(spark):
+    import __spark_entry__ as entry
+
+    for name in ("sector_records_merge_levels", "sectors_upsert_levels"):
+        levels = {r[0] for r in entry.queries()[name](spark, "/root/testdata/sf0.001").select("taxonomy_level").distinct().collect()}
+        assert levels == {1, 2, 3}  # these companies have no fourth level
