@@ -189,6 +189,10 @@ class VersionedTable:
         done = [n for n in names if n.startswith("v") and fs.exists(hadoop_path(f"{self.path}/{n}/_SUCCESS"))]
         return sorted(int(n[1:]) for n in done)
 
+    def following(self) -> int:
+        """The number of a version on top of all stored ones."""
+        return max(self._versions(), default=-1) + 1
+
     def latest(self, below: int | None = None) -> DataFrame:
         found = [v for v in self._versions() if below is None or v < below]
         if not found:

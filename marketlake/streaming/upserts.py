@@ -18,11 +18,12 @@ BatchWriter = Callable[[DataFrame, int], None]
 def symbol_upserts(table: VersionedTable) -> BatchWriter:
     """foreachBatch writer: apply each delivered snapshot (exchange, code, meta) to the table.
 
-    The batch number is the table version, so applying a batch again changes nothing. A
-    batch has to hold whole snapshots of the exchanges it touches.
+    Starts from the stored table whatever the batch number, so a new checkpoint loses nothing;
+    applying a batch again changes nothing. A batch has to hold whole snapshots of the exchanges
+    it touches.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        table.write(sym.apply_snapshot(table.latest(below=batch_id), batch), batch_id)
+        table.write(sym.apply_snapshot(table.latest(), batch), table.following())
 
     return write
 
@@ -31,6 +32,6 @@ def sector_upserts(table: VersionedTable) -> BatchWriter:
     """foreachBatch writer: merge sector records into the table, last record per key."""
     def write(batch: DataFrame, batch_id: int) -> None:
         incoming = keep_last(batch, ["taxonomy", "source_code"]) if "_seq" in batch.columns else batch
-        table.write(tax.upsert_sectors(table.latest(below=batch_id), incoming.drop("_seq")), batch_id)
+        table.write(tax.upsert_sectors(table.latest(), incoming.drop("_seq")), table.following())
 
     return write

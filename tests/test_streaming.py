@@ -99,6 +99,21 @@ def test_symbol_and_sector_upserts(spark, folder):
     assert store.latest().where("name_en = 'New'").count() == 2 and store.latest().count() == sectors.count()
 
 
+def test_upserts_after_a_new_checkpoint_keep_rows(spark, folder):
+    stored = companies.stored_symbols(spark, SF_DIR)
+    base = stored.drop("is_active")
+    table = ds.VersionedTable(spark, f"{folder}/symbols", stored.select("exchange", "code", "is_active", "meta").schema)
+    sectors = companies.sector_table(spark, SF_DIR)
+    store = ds.VersionedTable(spark, f"{folder}/sectors", sectors.schema)
+    for batch_id in (0, 1, 2):
+        upserts.symbol_upserts(table)(base, batch_id)
+        upserts.sector_upserts(store)(sectors, batch_id)
+    upserts.symbol_upserts(table)(base.where("exchange = 'HOSE'").limit(1), 0)  # numbers begin anew
+    upserts.sector_upserts(store)(sectors.limit(1).withColumn("name_en", F.lit("New")), 0)
+    assert table.latest().count() == base.count() and table.latest().where("exchange = 'HOSE' and is_active").count() == 1
+    assert store.latest().count() == sectors.count() and store.latest().where("name_en = 'New'").count() == 1
+
+
 def test_minute_bars_stream_equals_batch(spark, folder):
     t = fixtures.ticks(spark, SF_DIR)
     twice = t.unionByName(t.where("event_id < 20"))
