@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketlake.llm import bpe, exact_dedup, imatch, licenses, mixing, near_dedup, pii, quality, secrets, toxicity
+from marketlake.llm import alignment, bpe, exact_dedup, imatch, licenses, mixing, near_dedup, pii, quality, ranked, secrets, simhash, toxicity
 from marketlake.llm.common import held_out, read_documents, read_table, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,9 +90,49 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(read_documents(spark, sf_dir))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The byte-level vocabulary against the pieces."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as spec, open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as model:
+        a, b = alignment.ByteLevel(spec.read(), public_tokenizers.PATTERN), alignment.Pieces(model.read())
+    return alignment.align(read_documents(spark, sf_dir), a, b)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return ranked.rank_documents(read_documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH tokens AS (
+  SELECT row, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS row, * FROM documents)),
+counts AS (SELECT row, doc_id, term, count(*) AS tf FROM tokens GROUP BY ALL),
+sizes AS (SELECT row, count(*) AS n FROM tokens GROUP BY row),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sizes),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+weighed AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM counts, totals WHERE term IN (SELECT term FROM asked) GROUP BY term),
+normed AS (SELECT row, 100 - 50 + (50 * n * docs) // terms AS m FROM sizes, totals),
+scored AS (
+  SELECT a.item_id, c.row, c.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM asked a JOIN weighed USING (term) JOIN counts c USING (term) JOIN normed USING (row) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS "rank", doc_id, score
+FROM scored WHERE score > 0 QUALIFY "rank" <= 50
+"""
+
+
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles of four words, fingerprints within four bits."""
+    return simhash.near_copies(read_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan, "op2_mix_sources": op2_mix_sources, "op3_exact_dedup": op3_exact_dedup, "op5_near_dedup": op5_near_dedup, "op6_toxicity": op6_toxicity,
     "op4_quality": op4_quality, "op7_pii": op7_pii, "op8_fingerprints": op8_fingerprints, "op9_byte_bpe": op9_byte_bpe, "op10_secrets": op10_secrets,
+    "op11_alignment": op11_alignment, "op12_ranked_search": op12_ranked_search, "op13_simhash_dedup": op13_simhash_dedup,
 }
 
-ORACLES: dict[str, str] = {"op1_license_scan": licenses.scan_sql(), "op2_mix_sources": OP2_SQL, "op3_exact_dedup": OP3_SQL}
+ORACLES: dict[str, str] = {"op1_license_scan": licenses.scan_sql(), "op2_mix_sources": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op12_ranked_search": OP12_SQL}
