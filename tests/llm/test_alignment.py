@@ -1,6 +1,7 @@
 import hashlib
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -54,8 +55,12 @@ def brute_force(texts, libraries):
         a, b = tokens(text or "", libraries)
         ends = sorted({e for _, _, e in a} & {e for _, _, e in b})
         links, written, shared = [], [], 0
-        for low, high in zip([0, *ends], ends):
-            x, y = [t for t in a if low <= t[1] < high], [t for t in b if low <= t[1] < high]
+        group = [defaultdict(list), defaultdict(list)]
+        for held, cut in zip(group, (a, b)):
+            for t in cut:
+                held[bisect_right(ends, t[1])].append(t)
+        for k in range(len(ends)):
+            x, y = group[0][k], group[1][k]
             links += [(s[0], t[0]) for s in x for t in y if s[1] < t[2] and t[1] < s[2]]
             written.append(",".join(str(s[0]) for s in x) + "|" + ",".join(str(t[0]) for t in y))
             shared += len(x) * len(y)
