@@ -5,164 +5,122 @@ with the same key; repeats in between are suppressed and counted, and the count
 delivered with the next retained notice. The anchor moves with every retained notice, so
 this is a chain and not a gap-based session.
 
-A chain looks sequential, but a stretch of time acts on it as a function: "the chain may
-fire again from time x" in, the same for the end of the stretch out. That function is a
-step function with at most one step per distinct event time within one cooldown. So time
-is cut into blocks, the blocks' functions are composed upwards in a tree of fixed fan-in,
-the start state is passed back down, and each block then replays itself. A task sees one
-block of one key (its distinct times only, after a map-side count), never a whole key.
+The chain is found without walking it. Let an instant's predecessor be the last instant at
+least one cooldown before it, and its rank the number of predecessors one after the other.
+The i-th retained instant is the first one of rank i: an instant is at or after it exactly
+when its predecessor is at or after the one before. So ranks are all that is needed, and
+pointer doubling gives them in as many rounds as the longest chain's length has bits: each
+round replaces every pointer by its target's pointer and adds the ranks up.
+
+Only instants that precede others take part in the rounds, spread by key and time; a burst
+of any number of instants within one cooldown is one target. Each round is a written table.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-__all__ = ["retained_notices"]
+from marketlake.session import cut_lineage
 
-BLOCK_COOLDOWNS = 64  # length of a block in cooldowns
-FAN_IN = 1024  # blocks composed per tree node
-_NEVER = np.iinfo(np.int64).min
-_FUNCTION = "key string, block long, first_at array<long>, exits array<long>"
-_HORIZON_US = 200 * 366 * 86_400_000_000  # two hundred years; a tree this high has one root per key
+__all__ = ["after_anchors", "retained_notices"]
 
+BLOCK_COOLDOWNS = 64  # stretch of a key's time that one task searches for predecessors, in cooldowns
 
-def _exit_times(times: np.ndarray, cooldown: int) -> np.ndarray:
-    """For a chain that fires at ``times[i]``: when may it fire again after the block?
 
-    Follows all chains at once; a block is ``BLOCK_COOLDOWNS`` long, which bounds the hops.
+def _moments(notices: DataFrame, key: str) -> DataFrame:
+    """One row per key and instant: how many notices, the smallest id; reduced on the map side."""
+    return notices.where(F.col(key).isNotNull() & F.col("ts").isNotNull()).groupBy(F.col(key).alias("key"), F.unix_micros("ts").alias("t")).agg(
+        F.count("*").alias("n"), F.min("event_id").alias("event_id")
+    )
+
+
+def _with_predecessor(moments: DataFrame, cooldown: int, width: int) -> DataFrame:
+    """Adds ``before``: the last instant of the key at least one cooldown earlier, null for none.
+
+    Instants and questions (at t - cooldown) are stacked and dealt by key and block of time.
+    A question that its block cannot answer takes the last instant of the blocks before.
+    """
+    asked = F.array(
+        F.struct(F.col("t").alias("at"), F.lit(0).alias("kind")), F.struct((F.col("t") - cooldown).alias("at"), F.lit(1).alias("kind")),
+    )
+    stacked = moments.select("key", "t", "n", "event_id", F.explode(asked).alias("x")).select("key", "t", "n", "event_id", "x.*")
+    stacked = stacked.withColumn("block", F.floor(F.col("at") / width).cast("bigint"))
+    instant = F.when(F.col("kind") == 0, F.col("at"))
+    own = F.last(instant, ignorenulls=True).over(W.partitionBy("key", "block").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0))
+    here = stacked.withColumn("before", own).where("kind = 1")
+    ends = stacked.groupBy("key", "block").agg(F.max(instant).alias("end"))
+    earlier = F.last("end", ignorenulls=True).over(W.partitionBy("key").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    joined = here.join(ends.select("key", "block", earlier.alias("_end")), ["key", "block"])
+    return joined.select("key", "t", "n", "event_id", F.coalesce("before", "_end").alias("before"))
+
+
+def _ranks(pointers: DataFrame) -> DataFrame:
+    """(key, t, rank): how many pointers lead from each instant to one without; ``pointers``: key, t, before.
+
+    Pointer doubling; null pointers end it.
     """
-    n = len(times)
-    following = np.append(np.searchsorted(times, times + cooldown), n)
-    last, hop = np.arange(n), following[:n]
-    while (hop < n).any():
-        last = np.where(hop < n, hop, last)
-        hop = following[hop]
-    return times[last] + cooldown
-
-
-def _steps(first_at: np.ndarray, exits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Drop steps that end in the same exit; ``first_at`` becomes the last entry of each step."""
-    last = np.append(exits[1:] != exits[:-1], True) if len(exits) else np.zeros(0, bool)
-    return first_at[last], exits[last]
-
-
-def _through(state: np.ndarray, first_at: np.ndarray, exits: np.ndarray) -> np.ndarray:
-    """States after a block: the exit of the step an entry falls into, or unchanged beyond it."""
-    if not len(first_at):
-        return state
-    at = np.searchsorted(first_at, state)
-    return np.where(at < len(first_at), exits[np.minimum(at, len(first_at) - 1)], state)
-
-
-def _entry_limit(times: np.ndarray, cooldown: int, start: int) -> int:
-    """Entries arrive less than one cooldown after the start of the block."""
-    return min(int(np.searchsorted(times, start + cooldown)) + 1, len(times))
-
-
-def _block_function(cooldown: int, width: int):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf["t"].to_numpy(np.int64))
-        keep = _entry_limit(times, cooldown, int(key[1]) * width)
-        first_at, exits = _steps(times[:keep], _exit_times(times, cooldown)[:keep])
-        return pd.DataFrame({"key": [key[0]], "block": [key[1]], "first_at": [first_at], "exits": [exits]})
-
-    return run
-
-
-def _compose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("block")
-    # an entry lies within a cooldown of the node's start: in the first block, or it is the
-    # first event of the second one
-    heads = [np.asarray(v, np.int64) for v in pdf["first_at"].iloc[:2]]
-    grid = np.concatenate([heads[0], *[h[:1] for h in heads[1:]]])
-    state = grid
-    for row in pdf.itertuples():
-        state = _through(state, np.asarray(row.first_at, np.int64), np.asarray(row.exits, np.int64))
-    first_at, exits = _steps(grid, state)
-    return pd.DataFrame({"key": [key[0]], "block": [key[1]], "first_at": [first_at], "exits": [exits]})
-
-
-def _spread(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Start state of every child block, from the start state of its parent."""
-    pdf = pdf.sort_values("block")
-    state = np.array([pdf["entry"].iloc[0]], np.int64)
-    starts = []
-    for row in pdf.itertuples():
-        starts.append(state[0])
-        state = _through(state, np.asarray(row.first_at, np.int64), np.asarray(row.exits, np.int64))
-    return pd.DataFrame({"key": pdf["key"], "block": pdf["block"], "entry": starts})
-
-
-def _replay(cooldown: int):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        times, counts = pdf["t"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
-        seen = np.concatenate([[0], np.cumsum(counts)])
-        entry = int(pdf["entry"].iloc[0])
-        anchor = None if entry == _NEVER else entry - cooldown
-        rows, at, done = [], 0 if entry == _NEVER else int(np.searchsorted(times, entry)), 0
-        if at:
-            rows.append((anchor, None, int(seen[at])))
-            done = at
-        while at < len(times):
-            nxt = int(np.searchsorted(times, times[at] + cooldown))
-            rows.append((int(times[at]), anchor, int(seen[nxt] - seen[at] - 1)))
-            anchor, at, done = int(times[at]), nxt, nxt
-        out = pd.DataFrame(rows, columns=["anchor", "previous", "suppressed"])
-        out["key"] = key[0]
-        out["fires"] = [r[0] is not None and r[0] >= times[0] for r in rows]
-        return out[["key", "anchor", "previous", "suppressed", "fires"]].astype(
-            {"anchor": "Int64", "previous": "Int64"}
-        )
-
-    return run
+    state = cut_lineage(pointers.select("key", "t", F.col("before").alias("to"), F.col("before").isNotNull().cast("bigint").alias("rank")))
+    while not state.where("to is not null").isEmpty():
+        target = state.select("key", F.col("t").alias("to"), F.col("to").alias("_next"), F.col("rank").alias("_more"))
+        moved = state.join(target, ["key", "to"], "left")
+        state = cut_lineage(moved.select("key", "t", F.col("_next").alias("to"), (F.col("rank") + F.coalesce("_more", F.lit(0))).alias("rank")))
+    return state.select("key", "t", "rank")
 
 
 def retained_notices(notices: DataFrame, cooldown_seconds: float, key: str = "dedup_key") -> DataFrame:
     """Retained notices: (key, ts, event_id, delivered_suppressed, suppressed_after).
 
     ``notices`` has the key, ``ts`` and ``event_id``; of several events at one instant the
-    smallest id is the one retained. ``delivered_suppressed`` counts the repeats since the
+    smallest id is the one retained; notices without a key or an instant are left out.
+    ``delivered_suppressed`` counts the repeats since the
     previous retained notice, ``suppressed_after`` those since this one.
     """
     cooldown = int(cooldown_seconds * 1_000_000)
     if cooldown <= 0:
         raise ValueError("cooldown must be positive")
-    width = cooldown * BLOCK_COOLDOWNS
-    moments = notices.groupBy(F.col(key).alias("key"), F.unix_micros("ts").alias("t")).agg(
-        F.count("*").alias("n"), F.min("event_id").alias("event_id")
-    ).withColumn("block", F.floor(F.col("t") / width).cast("bigint"))
-
-    level = moments.groupBy("key", "block").applyInPandas(_block_function(cooldown, width), _FUNCTION)
-    tree, span = [level], width
-    while span < 2 * _HORIZON_US:
-        span *= FAN_IN
-        up = tree[-1].withColumn("_up", F.floor(F.col("block") / FAN_IN).cast("bigint"))
-        tree.append(up.groupBy("key", "_up").applyInPandas(_compose, _FUNCTION))
-    # the last level holds at most two nodes per key, before and after the epoch
-    state = tree[-1].withColumn("_root", F.lit(0)).withColumn("entry", F.lit(int(_NEVER)))
-    state = state.groupBy("key", "_root").applyInPandas(_spread, "key string, block long, entry long")
-    for children in reversed(tree[:-1]):
-        parent = state.select("key", F.col("block").alias("_up"), "entry")
-        linked = children.withColumn("_up", F.floor(F.col("block") / FAN_IN).cast("bigint")).join(parent, ["key", "_up"])
-        state = linked.groupBy("key", "_up").applyInPandas(_spread, "key string, block long, entry long")
-
-    replayed = moments.join(state, ["key", "block"]).groupBy("key", "block").applyInPandas(
-        _replay(cooldown), "key string, anchor long, previous long, suppressed long, fires boolean"
+    moments = cut_lineage(_moments(notices, key))
+    linked = cut_lineage(_with_predecessor(moments, cooldown, cooldown * BLOCK_COOLDOWNS))
+    aims = linked.where("before is not null").select("key", F.col("before").alias("t")).distinct()
+    ranks = _ranks(linked.join(aims, ["key", "t"], "left_semi").select("key", "t", "before"))
+    ranked = linked.join(ranks.select("key", F.col("t").alias("before"), "rank"), ["key", "before"], "left")
+    ranked = ranked.withColumn("rank", F.coalesce(F.col("rank") + 1, F.lit(0)))
+
+    first = F.min(F.struct("t", "event_id")).alias("first")
+    groups = ranked.groupBy("key", "rank").agg(first, (F.sum("n") - 1).alias("suppressed"))
+    # each group tells the next one what it suppressed
+    told = F.array(
+        F.struct(F.col("rank"), F.col("first"), F.col("suppressed"), F.lit(None).cast("bigint").alias("earlier")),
+        F.struct((F.col("rank") + 1).alias("rank"), F.lit(None).cast(groups.schema["first"].dataType).alias("first"), F.lit(None).cast("bigint").alias("suppressed"), F.col("suppressed").alias("earlier")),
+    )
+    met = groups.select("key", F.explode(told).alias("x")).select("key", "x.*").groupBy("key", "rank").agg(
+        F.max("first").alias("first"), F.max("suppressed").alias("suppressed_after"), F.max("earlier").alias("earlier")
     )
-    # repeats before the first retained notice of a block belong to an anchor of an earlier block
-    totals = replayed.groupBy("key", "anchor").agg(
-        F.sum("suppressed").alias("suppressed_after"), F.max("previous").alias("previous"),
-        F.max("fires").alias("fires"),
+    return met.where("first is not null").select(
+        F.col("key").alias(key), F.timestamp_micros("first.t").alias("ts"), "first.event_id",
+        F.coalesce("earlier", F.lit(0)).alias("delivered_suppressed"), "suppressed_after",
+    )
+
+
+def after_anchors(notices: DataFrame, anchors: DataFrame, cooldown_seconds: float, key: str = "dedup_key") -> tuple[DataFrame, DataFrame]:
+    """One more batch of a chain: (retained notices, new anchors).
+
+    ``anchors``: key, ``anchor`` (instant of the last retained notice), ``pending`` (repeats suppressed since). Notices less
+    than a cooldown after their key's anchor, or before it, are suppressed and counted; the chain goes on with the others.
+    Retained notices carry ``delivered_suppressed`` as in :func:`retained_notices`.
+    """
+    cooldown = int(cooldown_seconds * 1_000_000)
+    rows = notices.join(anchors.select(F.col(key), F.unix_micros("anchor").alias("_anchor")), key, "left")
+    free = F.col("_anchor").isNull() | (F.unix_micros("ts") >= F.col("_anchor") + cooldown)
+    rows = rows.withColumn("_free", free)
+    held = rows.where("not _free").groupBy(key).agg(F.count("*").alias("_held"))
+    pending = anchors.join(held, key, "left").select(key, "anchor", (F.col("pending") + F.coalesce("_held", F.lit(0))).alias("pending"))
+    found = cut_lineage(retained_notices(rows.where("_free").select(key, "ts", "event_id"), cooldown_seconds, key))
+    opening = found.groupBy(key).agg(F.min("ts").alias("ts"), F.max_by(F.struct("ts", "suppressed_after"), "ts").alias("last"))
+    retained = found.join(opening.select(key, "ts", F.lit(True).alias("_first")), [key, "ts"], "left").join(pending.select(key, "pending"), key, "left")
+    retained = retained.select(
+        key, "ts", "event_id", F.when(F.col("_first"), F.coalesce("pending", F.lit(0))).otherwise(F.col("delivered_suppressed")).alias("delivered_suppressed")
     )
-    before = totals.select("key", F.col("anchor").alias("previous"), F.col("suppressed_after").alias("_delivered"))
-    return (
-        totals.join(before, ["key", "previous"], "left")
-        .join(moments.select("key", F.col("t").alias("anchor"), "event_id", "n"), ["key", "anchor"])
-        .select(
-            F.col("key").alias(key), F.timestamp_micros("anchor").alias("ts"), "event_id",
-            F.coalesce("_delivered", F.lit(0)).alias("delivered_suppressed"), "suppressed_after",
-        )
+    now = pending.join(opening.select(key, "last"), key, "full").select(
+        key, F.coalesce("last.ts", "anchor").alias("anchor"), F.coalesce("last.suppressed_after", "pending").alias("pending")
     )
+    return retained, now

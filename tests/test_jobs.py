@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marketlake.functions.text import canonical_code, join_symbol_key, normalized_title, snake_case, split_symbol_key, taxonomy_level
 from marketlake.operators import commands, cooldown, executions as ex, governance as gov, normalize, symbols as sym, taxonomy as tax
+from marketlake.session import cut_lineage
 
 NOW = dt.datetime(2026, 1, 1)
 U = "00000000-0000-4000-8000-00000000000{}"
@@ -65,8 +66,6 @@ def _compare_chain(spark, events, seconds):
 
 def test_cooldown_against_brute_force_with_a_hot_key(spark, monkeypatch):
     monkeypatch.setattr(cooldown, "BLOCK_COOLDOWNS", 3)
-    monkeypatch.setattr(cooldown, "FAN_IN", 4)
-    monkeypatch.setattr(cooldown, "_HORIZON_US", 2_000_000_000)
     rng = random.Random(5)
     events = [("hot", rng.randrange(0, 900_000_000), i) for i in range(3000)]
     events += [("hot", -rng.randrange(0, 50_000_000), 5000 + i) for i in range(100)]
@@ -81,20 +80,32 @@ def test_cooldown_property(spark, seconds, gap):
     _compare_chain(spark, [("k", s * 1_000_000, i) for i, s in enumerate(seconds)], gap)
 
 
-def test_block_functions_follow_the_chain():
-    import numpy as np
-
-    rng = np.random.default_rng(1)
-    times = np.unique(rng.integers(0, 640, 200))
-    exits = cooldown._exit_times(times, 10)
-    for i in range(len(times)):
-        t = times[i]
-        while True:
-            later = times[times >= t + 10]
-            if not len(later):
-                break
-            t = later[0]
-        assert exits[i] == t + 10
+def test_a_burst_within_one_cooldown(spark):
+    """Many instants in one cooldown are one target, and the plan has neither Python nor many exchanges."""
+    burst = spark.range(200_000).select(F.lit("k").alias("dedup_key"), F.timestamp_micros(F.col("id") * 40).alias("ts"), F.col("id").alias("event_id"))
+    late = spark.range(3).select(F.lit("k").alias("dedup_key"), F.timestamp_micros(F.col("id") * 9_000_000 + 12_000_000).alias("ts"), (F.col("id") + 200_000).alias("event_id"))
+    out = cooldown.retained_notices(burst.union(late), 10)
+    got = sorted((r.event_id, r.delivered_suppressed, r.suppressed_after) for r in out.collect())
+    assert got == [(0, 0, 199_999), (200_000, 199_999, 1), (200_002, 1, 0)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and plan.count("Exchange ") <= 10
+
+
+def test_anchors_carry_a_chain_over_batches(spark):
+    rng = random.Random(8)
+    events = sorted((f"k{rng.randrange(3)}", rng.randrange(0, 300) * 1_000_000, i) for i in range(400))
+    events.sort(key=lambda e: (e[1], e[2]))
+    anchors = spark.createDataFrame([], "dedup_key string, anchor timestamp, pending long")
+    got = []
+    for start in range(0, 400, 80):
+        part = spark.createDataFrame(events[start : start + 80], "dedup_key string, t long, event_id long").withColumn("ts", F.timestamp_micros("t"))
+        retained, anchors = cooldown.after_anchors(part, anchors, 20)
+        anchors = cut_lineage(anchors)
+        got += [(r.dedup_key, r.event_id, r.delivered_suppressed) for r in retained.collect()]
+    want = {k: _chain([(t, i) for kk, t, i in events if kk == k], 20_000_000) for k in ("k0", "k1", "k2")}
+    # an instant that two batches share keeps the id of the first
+    assert sorted(got) == sorted((k, i, d) for k, rows in want.items() for _, i, d, _ in rows)
+    assert {r.dedup_key: r.pending for r in anchors.collect()} == {k: rows[-1][3] for k, rows in want.items()}
 
 
 def messages(spark, rows):
