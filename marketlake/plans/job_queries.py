@@ -34,6 +34,30 @@ def _command_rows(spark, sf_dir):
     return o.select("o_orderkey", kind.alias("kind"), text.alias("value"))
 
 
+def all_commands(spark, sf_dir):
+    """One JSON command of some kind per order; every rule of every kind is broken by some of them."""
+    o = fixtures.load(spark, sf_dir, "orders")
+    status, prio, price = F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_totalprice")
+    blank_below = lambda limit, text: F.when(price < limit, " ").otherwise(text)
+    fields = F.struct(
+        F.concat(F.lit("E"), F.col("o_orderkey").cast("string")).alias("executionId"),
+        F.when(price < 20000, "HOSE").otherwise(F.concat(F.lit("HOSE-S"), F.col("o_custkey").cast("string"))).alias("symbolKey"),
+        F.when(prio == "5-LOW", "5m").when(prio == "3-MEDIUM", "2d").otherwise("1d").alias("timeframe"),
+        F.when(status == "P", "trend_momentum_v1").when(status == "O", "SECTOR_WAVE_V1").otherwise(" sector_transition_v1").alias("strategy"),
+        F.when(price > 200000, "ad_close").alias("indicatorSource"),
+        F.when(status == "F", F.array(F.lit("ma20"), F.lit("RSI14"))).otherwise(F.array(F.lit("EMA9"))).alias("indicators"),
+        F.when(price > 400000, F.array(F.lit(" asia "), F.lit("Asia"), F.lit(" "))).when(price < 20000, F.array().cast("array<string>")).otherwise(F.array(F.lit("AFRICA"))).alias("sectorCodes"),
+        F.when(price > 450000, F.array(F.lit("asia"))).when(price > 300000, F.array(F.lit("MARS"))).alias("focusSectorCodes"),
+        blank_below(30000, "HOSE").alias("exchange"), blank_below(30000, "ASIA").alias("sectorCode"),
+        F.when(prio == "2-HIGH", 0).otherwise(1).alias("sectorLevel"),
+        F.when(prio == "1-URGENT", F.array(F.lit(5), F.lit(0))).otherwise(F.array(F.lit(5), F.lit(10))).alias("predictionHorizons"),
+        F.when(F.col("o_custkey") % 5 == 0, "soon").otherwise("1998-01-05").alias("evaluationDate"),
+    )
+    kind = F.element_at(F.array(*[F.lit(k) for k in commands.KINDS]), (F.col("o_orderkey") % 8 + 1).cast("int"))
+    text = F.when(price < 5000, F.lit("[1, 2]")).when(price < 9000, F.lit("{broken")).otherwise(F.to_json(fields))
+    return o.select(kind.alias("kind"), text.alias("value"))
+
+
 @query("decode_job_payload", """
 SELECT o_orderkey, o_totalprice < 9000 malformed, CASE WHEN o_totalprice >= 9000 THEN 'E' || o_orderkey END execution_id,
   CASE WHEN o_totalprice < 9000 THEN NULL WHEN o_totalprice < 20000 THEN 'HOSE' ELSE 'HOSE-S' || o_custkey END symbol_key,
@@ -100,7 +124,7 @@ define("parent_state", """
 SELECT *, CASE WHEN closed THEN 'FAILED' WHEN n = 0 THEN 'SUCCESS' WHEN open > 0 THEN 'RUNNING' WHEN failed > 0 THEN 'FAILED' ELSE 'SUCCESS' END status FROM rolled""", "rolled")
 
 
-def _children(spark, sf_dir):
+def child_runs(spark, sf_dir):
     """All executions; those still open of the later years count as done, so that some parents close."""
     late = F.col("status").isin("PENDING", "RUNNING") & (F.col("started_on") >= F.lit("1996-01-01").cast("date"))
     rows = fixtures.executions(spark, sf_dir).withColumn("status", F.when(late, "SUCCESS").otherwise(F.col("status")))
@@ -113,7 +137,7 @@ def _rolled(spark, sf_dir):
         F.col("c_custkey").alias("id"), F.when(F.col("c_acctbal") < 0, "FAILED").otherwise("PENDING").alias("status"),
         F.col("c_name").alias("title"),
     )
-    return ex.rollup(parents, _children(spark, sf_dir), _NOW)
+    return ex.rollup(parents, child_runs(spark, sf_dir), _NOW)
 
 
 @query("execution_rollup", with_ctes("""
@@ -147,7 +171,7 @@ FROM parent_state p LEFT JOIN (SELECT parent_log_id, min(id) id, min_by(started_
 WHERE p.status = 'FAILED' AND (f.id IS NOT NULL OR closed)""", "parent_state"))
 def transition_failure_notices(spark, sf_dir):
     pairs = lambda *kv: F.create_map(*[x if i % 2 else F.lit(x) for i, x in enumerate(kv)])
-    children = _children(spark, sf_dir).withColumns(
+    children = child_runs(spark, sf_dir).withColumns(
         {
             "seq": F.col("id"),
             "meta": pairs("evaluationDate", F.date_format("started_on", "yyyy-MM-dd"), "errorMessage",
@@ -175,7 +199,7 @@ def signal_digest(spark, sf_dir):
         F.lit("symbolKey"), F.concat(F.lit("S"), F.col("id").cast("string")), F.lit("newSignal"), F.lit("BULLISH"),
         F.lit("price"), F.col("records_synced").cast("string"), F.lit("strategy"), F.lit("TREND_MOMENTUM_V1"),
     )
-    children = _children(spark, sf_dir).withColumns({"seq": F.col("id"), "meta": meta})
+    children = child_runs(spark, sf_dir).withColumns({"seq": F.col("id"), "meta": meta})
     return ex.signal_digest(_rolled(spark, sf_dir), children).select("id", "total_children", "changed_count", "message")
 
 
