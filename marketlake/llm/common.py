@@ -2,20 +2,34 @@
 
 from __future__ import annotations
 
+import ctypes
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from marketlake.session import cut_lineage
 
-__all__ = ["arrow_map", "held_out", "read_documents", "read_table", "release", "stored", "text_or_empty", "width"]
+__all__ = ["arrow_map", "clear_of", "held_out", "read_documents", "read_table", "release", "stored", "text_or_empty", "width"]
 
 #: One Arrow batch is taken apart into pieces of at most this many rows, so that Python holds few texts at once.
 BATCH_ROWS = 512
+#: Bytes of an Arrow batch, which stands in both Spark and Python: rows are documents of any length.
+ARROW_BYTES = 4 << 20
+
+_ARROW_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _short_batches(spark: SparkSession) -> None:
+    """Lower the session's bound of an Arrow batch where it is higher."""
+    if int(spark.conf.get(_ARROW_LIMIT).rstrip("b")) > ARROW_BYTES:
+        spark.conf.set(_ARROW_LIMIT, str(ARROW_BYTES))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    _short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,12 +49,30 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def stored(df: DataFrame) -> DataFrame:
     """Written to the cluster's shared folder and read again: later stages do not depend on executors that made it."""
+    _short_batches(df.sparkSession)
     return cut_lineage(df)
 
 
 def release() -> None:
-    """Hand freed Arrow memory back: a worker outlives its task, and what it holds counts against the executor."""
+    """Hand freed memory back: a worker outlives its task, and what it holds counts against the executor."""
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def clear_of(taken: list[tuple[int, int]]) -> Callable[[int, int], bool]:
+    """Whether a span (start, end) overlaps none of these; each question takes a binary search."""
+    ordered = sorted(taken)
+    starts = [s for s, _ in ordered]
+    reach = list(accumulate((e for _, e in ordered), max))
+
+    def clear(start: int, end: int) -> bool:
+        before = bisect_left(starts, end)
+        return not before or reach[before - 1] <= start
+
+    return clear
 
 
 def width(spark: SparkSession) -> int:

@@ -7,16 +7,17 @@ it. A lexicon is a random subset
 of the terms, chosen by their hash; of each lexicon's terms that a text has, sorted and distinct, a hash is kept. ``LEXICONS``
 lexicons at each of several sampling levels: level m holds one in ``LEXICONS * 2**m`` terms a lexicon, each level within the one
 before it. A text's fingerprint starts at the level at which its lexicons hold one or two of its terms each, whatever its
-length, and goes ``DEPTH`` levels further, so that texts of different lengths meet at a common level. Where a text or its edited
-form has terms in the band and none of them in a lexicon at that level, both start lower, at the level that fits the fewer of
-their terms in the band.
+length, and goes ``DEPTH`` levels further, so that texts of different lengths meet at a common level. A text that has terms in the
+band and none of them in a lexicon at that level starts lower, at a level that fits its own terms in the band: what follows a
+text has no part in its fingerprint, and its edited form is printed for itself.
 
 The likeness of two fingerprints is the share of lexicons, at the finest level that both have, on which they agree, among
 those of which either has a term; 0 where there is none.
 
 Every text's edited form takes the head of the next document, so documents are dealt by ranges of the id, sorted, and read in
-a stream that holds two texts; each range also gets the first document of the next. Texts travel once, compressed, and once
-more if there are texts that start lower; otherwise only term hashes and digests do.
+a stream that holds two texts; each range also gets the first document of the next. A bitmap of fixed size tells there which
+terms may be in the band; only such terms go on, and more of them where a text has few. Texts travel once, compressed; they would
+once more only for texts whose sample the bitmap mistook for terms of the band, which takes a band of many times its bits.
 
 Defined cases: a null text counts as empty; a text without terms in the band has an empty fingerprint and likeness 0 to all.
 Ids that are null come first; of equal ids the order is that of the texts' digests; rows that repeat follow each other. A
@@ -48,8 +49,10 @@ LEAST_DF, MOST_SHARE = 2, 0.1
 REMEMBERED = 300_000
 
 _BITS = int(math.log2(LEXICONS))
-#: Bits of the bitmaps that go to every task: 1 MB.
-_SLOTS = 1 << 23
+#: Bits of the bitmaps of texts that go to every task (1 MB), and of the bitmap of the band's terms (8 MB).
+_SLOTS, _BAND_SLOTS = 1 << 23, 1 << 26
+#: Terms of a text's first sample that may be in the band from which no others are looked for.
+SURE = 8
 
 
 def _terms(text: bytes, memory: dict[bytes, int]) -> np.ndarray:
@@ -100,6 +103,31 @@ def _bitmap(slots: DataFrame) -> np.ndarray:
     return out
 
 
+def _band_slots(terms: np.ndarray) -> np.ndarray:
+    return (terms >> 37) & (_BAND_SLOTS - 1)
+
+
+def _band_bitmap(band: DataFrame) -> np.ndarray:
+    """Bits of the terms in the band, in 64-bit words: a fixed size whatever the input."""
+    slot = F.shiftright("term", 37).bitwiseAND(_BAND_SLOTS - 1)
+    words = band.select(slot.alias("slot")).selectExpr("shiftright(slot, 6) as word", "shiftleft(1L, cast(slot & 63 as int)) as bits").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(_BAND_SLOTS // 64, np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out
+
+
+def _known(terms: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The terms that may be in the band: all that are, and few others."""
+    slots = _band_slots(terms)
+    return terms[(bits[slots >> 6] >> (slots & 63)) & 1 == 1]
+
+
+def _chosen(known: np.ndarray, level: int) -> np.ndarray:
+    """The sample at a level; with few in it, also the sample at the level that fits the terms that may be in the band."""
+    first = _sampled(known, level)
+    return first if len(first) >= SURE else np.union1d(first, _sampled(known, min(level, _level(len(known)))))
+
+
 def _by_copies(docs: DataFrame, text: str, frequent: dict[int, int], total: int) -> list[int]:
     """Those of the frequent terms that copies alone make frequent."""
     rows = docs.select(text_or_empty(text).alias("text"))
@@ -170,11 +198,12 @@ def _ranges(docs: DataFrame, doc_id: str, parts: int) -> tuple[list, list, list]
     return cuts, [r["part"] for r in first], [None if r["nameless"] else r["least"] for r in first]
 
 
-def _streamed(docs: DataFrame, doc_id: str, text: str, ranges: tuple[list, list, list], wanted: np.ndarray | None = None) -> DataFrame:
+def _streamed(docs: DataFrame, doc_id: str, text: str, ranges: tuple[list, list, list], bits: np.ndarray, wanted: np.ndarray | None = None) -> DataFrame:
     """(row, term, here, there, id, n, sha, next): a row per sampled term of a text or its edited form, and one with the text's facts.
 
-    ``row`` numbers the texts in id order, ``next`` is the following text's number, and ``la`` and ``lb`` where the samples start.
-    With a bitmap of wanted rows: all terms of these, and nothing of others.
+    ``row`` numbers the texts in id order, ``next`` is the following text's number, ``la`` and ``lb`` where the samples start,
+    ``ma`` and ``mb`` where those start that are sampled lower, ``all_a`` and ``all_b`` whether no term that may be in the band is left out.
+    With a bitmap of wanted rows: all such terms of these, and nothing of others.
     """
     parts = width(docs.sparkSession)
     cuts, used, firsts = ranges
@@ -201,7 +230,7 @@ def _streamed(docs: DataFrame, doc_id: str, text: str, ranges: tuple[list, list,
         unpack, memory = zstandard.ZstdDecompressor(), {}
         held: tuple | None = None
         k = 0
-        columns: tuple[list, ...] = tuple([] for _ in range(10))
+        columns: tuple[list, ...] = tuple([] for _ in range(14))
 
         def put(one: tuple, following: str, number: int, after: int) -> None:
             slot = _slot(xxhash.xxh3_64_intdigest(number.to_bytes(8, "big")))
@@ -211,18 +240,19 @@ def _streamed(docs: DataFrame, doc_id: str, text: str, ranges: tuple[list, list,
             changed = edited(plain, following)
             a, b = _terms(one[2], memory), _terms(changed.encode("utf-8", "surrogatepass"), memory)
             la, lb = _level(len(a)), _level(len(b))
-            sa, sb = (_sampled(a, la), _sampled(b, lb)) if wanted is None else (a, b)
+            ka, kb = _known(a, bits), _known(b, bits)
+            sa, sb = (_chosen(ka, la), _chosen(kb, lb)) if wanted is None else (ka, kb)
             terms = np.union1d(sa, sb)
             digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-            facts = ((number ^ 0x5DEECE66D) * 0x9E3779B97F4A7C15) % (1 << 62), True, True, one[1], len(plain), digest, la, lb, after
+            facts = ((number ^ 0x5DEECE66D) * 0x9E3779B97F4A7C15) % (1 << 62), True, True, one[1], len(plain), digest, la, lb, after, min(la, _level(len(ka))), min(lb, _level(len(kb))), len(sa) == len(ka), len(sb) == len(kb)
             size = len(terms)
             here, there = np.isin(terms, sa).tolist(), np.isin(terms, sb).tolist()
-            for column, x in zip(columns[1:], zip(*([facts] + [(t, h, e, None, None, None, None, None, None) for t, h, e in zip(terms.tolist(), here, there)]))):
+            for column, x in zip(columns[1:], zip(*([facts] + [(t, h, e, *[None] * 10) for t, h, e in zip(terms.tolist(), here, there)]))):
                 column.extend(x)
             columns[0].extend([number] * (size + 1))
 
         def flushed() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64()))], names=["row", "term", "here", "there", "id", "n", "sha", "la", "lb", "next"])
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_()))], names=["row", "term", "here", "there", "id", "n", "sha", "la", "lb", "next", "ma", "mb", "all_a", "all_b"])
             for c in columns:
                 c.clear()
             return out
@@ -247,7 +277,7 @@ def _streamed(docs: DataFrame, doc_id: str, text: str, ranges: tuple[list, list,
     spread = rows.mapInArrow(dealt, "part int, halo int, id long, tie long, small binary").repartitionById(parts, F.col("part"))
     # the halo of a range sorts behind its own documents
     ranged = spread.sortWithinPartitions("part", "halo", F.col("id").asc_nulls_first(), "tie")
-    return ranged.mapInArrow(streamed, "row long, term long, here boolean, there boolean, id long, n long, sha string, la int, lb int, next long")
+    return ranged.mapInArrow(streamed, "row long, term long, here boolean, there boolean, id long, n long, sha string, la int, lb int, next long, ma int, mb int, all_a boolean, all_b boolean")
 
 
 def _print(hashes: np.ndarray, level: int, last: int | None = None) -> str:
@@ -277,23 +307,26 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     total = docs.count()
     if not total:
         return docs.select(F.col(doc_id), *(F.lit(None).cast(t).alias(c) for c, t in (("n_chars", "long"), ("edited_sha256", "string"), ("fingerprint", "string"), ("edited_fingerprint", "string"), ("near_edited", "double"), ("near_next", "double"))))
-    band, ranges = _band(docs, text, total).withColumn("known", F.lit(True)), _ranges(docs, doc_id, width(docs.sparkSession))
+    band = stored(_band(docs, text, total))
+    bits, ranges = _band_bitmap(band), _ranges(docs, doc_id, width(docs.sparkSession))
+    band = band.withColumn("known", F.lit(True))
+
+    def told(found: np.ndarray, level: int, low: int) -> str:
+        """From the first level if a lexicon has a term there, else from the highest lower one at which one has."""
+        if len(own := _sampled(found, level)):
+            return _print(own, level)
+        while low and not len(_sampled(found, low)):
+            low -= 1
+        return _print(found, low, level)
 
-    def over(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, near, lacking, slots = [], [], [], [], []
-            for row, x, y, la, lb in zip(*(batch[c].to_pylist() for c in ("row", "a", "b", "la", "lb"))):
-                first, second = np.array(x, np.int64), np.array(y, np.int64)
-                lacks = bool(la and not len(_sampled(first, la)) or lb and not len(_sampled(second, lb)))
-                low = min([_level(len(z)) for z in (first, second) if len(z)], default=max(la, lb))
-                if whole and lacks:
-                    a.append(_print(first, min(low, la), la))
-                    b.append(_print(second, min(low, lb), lb))
-                else:
-                    a.append(_print(_sampled(first, la), la))
-                    b.append(_print(_sampled(second, lb), lb))
+            for row, x, y, la, lb, ma, mb, all_a, all_b in zip(*(batch[c].to_pylist() for c in ("row", "a", "b", "la", "lb", "ma", "mb", "all_a", "all_b"))):
+                a.append(told(np.array(x, np.int64), la, ma))
+                b.append(told(np.array(y, np.int64), lb, mb))
                 near.append(likeness(a[-1], b[-1]))
-                lacking.append(lacks)
+                lacking.append(not (x or all_a) or not (y or all_b))
                 slots.append(_slot(xxhash.xxh3_64_intdigest(row.to_bytes(8, "big"))))
             yield pa.RecordBatch.from_arrays(
                 [*(batch[c] for c in ("row", "next", "id", "n", "sha")), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(near, pa.float64()), pa.array(lacking, pa.bool_()), pa.array(slots, pa.int64())],
@@ -301,16 +334,17 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             )
 
     def printed(wanted: np.ndarray | None = None) -> DataFrame:
-        found = _streamed(docs, doc_id, text, ranges, wanted).join(band, "term", "left").filter("known or n is not null")
-        facts = [F.max(c).alias(c) for c in ("id", "n", "sha", "la", "lb", "next")]
+        found = _streamed(docs, doc_id, text, ranges, bits, wanted).join(band, "term", "left").filter("known or n is not null")
+        facts = [F.max(c).alias(c) for c in ("id", "n", "sha", "la", "lb", "next", "ma", "mb", "all_a", "all_b")]
         kept = found.groupBy("row").agg(*facts, F.collect_list(F.when(F.col("n").isNull() & F.col("here"), F.col("term"))).alias("a"), F.collect_list(F.when(F.col("n").isNull() & F.col("there"), F.col("term"))).alias("b"))
-        return stored(kept.mapInArrow(lambda batches: over(batches, wanted is not None), "row long, next long, id long, n long, sha string, fingerprint string, edited_fingerprint string, near_edited double, lacks boolean, slot long"))
+        return stored(kept.mapInArrow(over, "row long, next long, id long, n long, sha string, fingerprint string, edited_fingerprint string, near_edited double, lacks boolean, slot long"))
 
     made = printed()
     lacking = made.filter("lacks").select("slot")
     if not lacking.isEmpty():
         lower = printed(_bitmap(lacking))
-        made = made.filter("not lacks").unionByName(lower.filter("lacks"))
+        again = lower.join(made.filter("lacks").select("row"), "row", "left_semi")
+        made = made.filter("not lacks").unionByName(again)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

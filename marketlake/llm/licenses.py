@@ -134,7 +134,7 @@ _STOPS, _OTHER = r"([.;:!?])[ \t\r\n]+", r"[^A-Za-z0-9./-]+"
 _EDGES, _LEAD = r"^[ .]+|[ .]+$", r"^(this|the) (work|file|software|program|document|code|library|text) is "
 
 # what begins or ends a line of a comment or a list
-_MARKS = r"(?m)^[ \t]*(?:<!--|/\*+|\*+/|//+|#+|\*+|;+|--?|%+|>+|\(?[0-9]{1,2}\)|\([a-z]\))(?=\s|$)|^[ \t]*(?:/\*+|//+|#+|;+|--)|[ \t]*(?:\*+/|-->)[ \t\r]*$"
+_MARKS = r"(?m)^[ \t]*(?:<!--|/\*+|\*+/|//+|#+|\*+|;+|--?|%+|>+|\(?[0-9]{1,2}\)|\([a-z]\))(?=\s|$)|^[ \t]*(?:/\*+|//+|#+|;+|--)|(?:\*/|-->)[ \t\r]*$"
 _GAP = r"[ \n]"
 #: The clause against endorsement, whoever is named in it.
 _ENDORSE = r"(?<![^\n])(?:neither the name|neither the names|the name|the names) of [a-z0-9 \n./-]{1,400}? endorse or promote products derived from this software(?: without (?:specific )?prior written permission)?(?![^\n])".replace("[a-z0-9 \\n./-]", "@").replace(" ", _GAP).replace("@", "[a-z0-9 \\n./-]")
@@ -163,6 +163,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     known = F.create_map(*[F.lit(x) for pair in (SENTENCES | WHOLE_SENTENCES).items() for x in pair])
     cut = F.regexp_replace(F.regexp_replace(own, _MARKS, " "), _STOPS, "$1\n")
     words = F.lower(F.regexp_replace(cut, _OTHER.replace("./", r"./\n"), " "))
+    # no known sentence has such a run; left as it is, each of its characters would start a search
+    words = F.regexp_replace(words, "[ .]{16,}", " . ")
     pieces = F.regexp_replace(F.regexp_replace(words, r"[ .]*\n[ .\n]*", "\n"), r"^[ .\n]+|[ .\n]+$", "")
     found = F.regexp_extract_all(F.regexp_replace(pieces, _ENDORSE, _NOT_ENDORSED), F.lit(_sentence_pattern()), F.lit(1))
     said = F.transform(found, lambda s: F.element_at(known, F.translate(s, "\n", " ")))

@@ -288,10 +288,11 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     packed = stored(_packed(docs, _ends(pairs), doc_id, text, size))
     links = stored(_confirmed(pairs, packed, size, percent))
 
-    # ids that come with several sets tie those together
-    several = named.select("id", "hi", "lo").join(sets_of.select("hi", "lo", F.col("id").alias("first")), ["hi", "lo"]).groupBy("id").agg(F.min("first").alias("a"), F.max("first").alias("b"), F.count_distinct("first").alias("k")).filter("k > 1")
-    tied = stored(several.select("id", F.explode(F.array("a", "b")).alias("b")).select(F.col("id").alias("a"), "b").filter("a != b"))
-    tied = tied.union(several.select("a", "b"))
+    # ids that come with several sets tie all of these to the smallest
+    firsts = named.select("id", "hi", "lo").join(sets_of.select("hi", "lo", F.col("id").alias("first")), ["hi", "lo"]).select("id", "first").distinct()
+    several = firsts.groupBy("id").agg(F.min("first").alias("least"), F.count("*").alias("k")).filter("k > 1").select("id", "least")
+    among = firsts.join(several, "id").select(F.col("first").alias("a"), F.col("least").alias("b"))
+    tied = stored(among.union(several.select("id", "least")).filter("a != b").distinct())
     found = components(links.union(tied))
 
     # step 4: what a bucket still holds apart; of buckets with the same members one is enough

@@ -6,8 +6,9 @@ check digit, range of dotted parts, marks) and of what stands around it. A dynam
 findings in a bounded sample of texts, of rewritten forms of these (without the leading plus, dots and signs spelled out,
 other separators), and of stretches without any.
 
-Only stretches around digits, at-signs and spelled-out addresses are taken through the field; all else can have no segment.
-Each row is worked on for itself, nothing is shuffled, and no text is cut short. The fit uses at most ``SAMPLE`` texts.
+Only stretches around seven digits or four digit groups, at-signs and spelled-out addresses are taken through the field.
+Each row is worked on for itself, nothing is shuffled, and no text is cut short. The fit uses at most ``SAMPLE`` texts, the
+first ``STRETCHES`` stretches of each, and of these ``STRETCHES`` examples of fewer than ``MOST_TOKENS`` tokens.
 
 Defined cases: null and empty texts have no spans. A span that the field finds is added only where it overlaps no fixed
 finding. Without any finding to learn from nothing is added. Rows that repeat are searched each. Other columns are ignored.
@@ -24,13 +25,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from marketlake.llm.common import text_or_empty
+from marketlake.llm.common import clear_of, text_or_empty
 
 __all__ = ["KINDS", "Field", "base_spans", "find_pii", "fit", "luhn"]
 
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens of a segment at most, texts that the fit sees at most, stretches and steps of the fit.
 LONGEST, SAMPLE, STRETCHES, STEPS = 24, 400, 120, 40
+#: Tokens from which a stretch is not learnt from (it is searched all the same).
+MOST_TOKENS = 400
 
 Span = tuple[int, int, int]  # start, kind number, end
 
@@ -80,7 +83,8 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
-_STRETCH = re.compile(r"@|[0-9](?:[^0-9\n]{0,3}[0-9]){6,}|[A-Za-z0-9]+ at [A-Za-z0-9]+(?: dot [A-Za-z0-9]+)+")
+# words are taken from their starts only, and digit groups are bounded: a long run is passed in linear time
+_STRETCH = re.compile(r"@|[0-9](?:[^0-9\n]{0,3}[0-9]){6,}|(?<![0-9])[0-9]{1,3}(?:[^A-Za-z0-9\n]{1,3}[0-9]{1,3}){3}(?![0-9])|(?<![A-Za-z0-9])[A-Za-z0-9]+ at [A-Za-z0-9]+(?: dot [A-Za-z0-9]+)+")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s|.", re.DOTALL)
 _AROUND = 24
 _CUES = tuple(re.compile(p) for p in (r"mail|contact|write", r"\bip\b|host|server|addr", r"card|visa|credit|pay", r"phone|tel|call|fax|mobile"))
@@ -282,6 +286,8 @@ def _rewritten(part: str, kind: int) -> str | None:
         local, _, domain = part.partition("@")
         local = local.replace(".", "")
         return f"{local} at {domain.replace('.', ' dot ')}" if local.isalnum() and domain.replace(".", "").isalnum() else None
+    if kind == 1:
+        return part.replace(".", "-")
     if kind == 2:
         d = _digits(part)
         return "/".join(d[i : i + 4] for i in range(0, len(d), 4))
@@ -311,7 +317,7 @@ def _examples(texts: list[str]) -> list[tuple[_Lattice, np.ndarray]]:
         step = max(1, len(group) * 3 // STRETCHES)
         for part, spans in group[::step][: STRETCHES // 3]:
             lattice = _lattice(part, 0, len(part))
-            if len(lattice.bounds) < 400 and (gold := _gold(lattice, spans)) is not None:
+            if len(lattice.bounds) < MOST_TOKENS and (gold := _gold(lattice, spans)) is not None:
                 out.append((lattice, gold))
     return out if with_found else []
 
@@ -320,13 +326,21 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Field:
     """The field that the fixed patterns' findings teach, by gradient steps on at most ``STRETCHES`` stretches."""
     own = F.coalesce(F.col(text).cast("string"), F.lit(""))
     shown = own.rlike(r"@[A-Za-z0-9-]+\.|[0-9]{4}[ -]?[0-9]{4}|[0-9]+\.[0-9]+\.[0-9]+\.[0-9]|\+[0-9][ (0-9]")
-    some = docs.select(own.alias("text")).filter(shown & (F.char_length("text") < 20_000)).select("text", F.xxhash64("text").alias("at"))
+    some = docs.select(own.alias("text")).filter(shown).select("text", F.xxhash64("text").alias("at"))
     # the texts with the smallest hashes: only hashes are ordered, then these texts alone are fetched
     last = some.select("at").distinct().orderBy("at").limit(sample).agg(F.max("at")).first()[0]
     if last is None:
         return Field(None, None)
-    chosen = some.filter(F.col("at") <= last).dropDuplicates(["at"]).collect()
-    examples = _examples([r["text"] for r in sorted(chosen, key=lambda r: r["at"])])
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                parts = [text[a:b] for a, b in _stretches(text)[:STRETCHES]]
+                yield pa.RecordBatch.from_arrays([pa.array([at] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.string())], names=["at", "n", "part"])
+
+    # stretches, not texts, come to the driver
+    chosen = some.filter(F.col("at") <= last).dropDuplicates(["at"]).mapInArrow(over, "at long, n int, part string").collect()
+    examples = _examples([r["part"] for r in sorted(chosen, key=lambda r: (r["at"], r["n"]))])
     if not examples:
         return Field(None, None)
     field = Field(np.zeros((_WIDTH, 5)), np.zeros((5, 5)))
@@ -364,7 +378,8 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", field:
                 counts, digests, spans = ([], [], [], []), [], []
                 for plain in texts.to_pylist():
                     base = base_spans(plain)
-                    more = [s for s in field.spans(plain) if not any(s[0] < e and b < s[2] for b, _, e in base)]
+                    clear = clear_of([(b, e) for b, _, e in base])
+                    more = [s for s in field.spans(plain) if clear(s[0], s[2])]
                     for k in range(4):
                         counts[k].append(sum(s[1] == k for s in base))
                     digests.append(hashlib.sha256(_shown(base).encode()).hexdigest())

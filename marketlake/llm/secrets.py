@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from marketlake.llm.common import stored, text_or_empty
+from marketlake.llm.common import clear_of, stored, text_or_empty
 
 __all__ = ["KINDS", "base_spans", "find_secrets", "wide_spans"]
 
@@ -51,7 +51,7 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 def wide_spans(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
     """(start, end, secret) of random-looking runs that overlap no fixed finding."""
-    found = []
+    found, clear = [], clear_of([(s, e) for s, e, *_ in taken])
     for m in WIDE.finditer(text):
         run = m[0]
         digits = sum(c.isdigit() for c in run)
@@ -59,7 +59,7 @@ def wide_spans(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[
             continue
         if -sum(k / len(run) * math.log2(k / len(run)) for k in Counter(run).values()) < LEAST_BITS:
             continue
-        if not any(s < m.end() and m.start() < e for s, e, *_ in taken):
+        if clear(m.start(), m.end()):
             found.append((m.start(), m.end(), run))
     return found
 

@@ -85,6 +85,13 @@ def test_id_with_several_texts_is_one_node(spark):
     assert {r["component_id"] for r in got} == {1}
 
 
+def test_id_with_many_texts_ties_all_of_them(spark):
+    texts = [" ".join(f"t{k}w{i}" for i in range(6)) for k in range(5)]
+    rows = [(k + 1, texts[k]) for k in range(5)] + [(9, t) for t in texts] + [(7, "u v w x y z")]
+    got = {(r["doc_id"], r["component_id"]) for r in near_dedup.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect()}
+    assert got == {*((k, 1) for k in (1, 2, 3, 4, 5, 9)), (7, 7)}
+
+
 def test_sketch_estimates_high_similarity():
     rng = np.random.default_rng(5)
     factors, offsets = near_dedup._constants()

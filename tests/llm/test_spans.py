@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import time
 
 from hypothesis import given, settings, strategies as st
 
 from marketlake.llm import licenses, pii, secrets
+from marketlake.llm.common import clear_of
 
 
 def test_license_rules_in_order(spark):
@@ -246,3 +248,40 @@ def test_every_whole_sentence_is_telling_and_normal(spark):
     frame = spark.createDataFrame([(s,) for s in licenses.WHOLE_SENTENCES], "s string")
     assert all(r[0] == r[1] for r in frame.select("s", licenses.normal(frame["s"])).collect())
     assert {i for _, seq in licenses.WHOLE_RULES for i in seq} <= set((licenses.SENTENCES | licenses.WHOLE_SENTENCES).values())
+
+
+def test_long_texts_take_linear_time(spark):
+    """Each of these took minutes where a search began anew at every character."""
+    run = "a1B2" * 250_000 + " 7"
+    began = time.time()
+    field = pii.fit(spark.createDataFrame([(f"call +44 20 7946 09{i:02d} or mail a{i}@b.org from 10.0.{i}.1 now",) for i in range(40)], "text string"))
+    assert field.weights is not None
+    learnt = time.time()
+    for text in (run, "12-" * 100_000, "x@" * 100_000, ("card 4111111111111111 and 10.0.0.1 " * 5_000)):
+        field.spans(text), pii.base_spans(text)
+    many = "password=abcdef12 " * 50_000
+    found = secrets.base_spans(many)
+    assert len(found) == 50_000 and secrets.wide_spans(many, found) == []
+    rows = [(1, "license" + " " * 200_000 + "x"), (2, "license " + "." * 200_000 + "x"), (3, "license " + "*" * 200_000 + "x"), (4, many), (5, run)]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    assert licenses.scan(docs).count() == 5
+    licenses.scan(docs).collect(), secrets.find_secrets(docs).collect(), pii.find_pii(docs, field=field).collect()
+    assert time.time() - learnt < 90 and learnt - began < 60
+
+
+def test_field_sees_other_dotted_forms(spark):
+    docs = spark.createDataFrame([(f"host 10.0.{i}.7 is up, ask server 192.168.1.{i} at noon",) for i in range(60)], "text string")
+    field = pii.fit(docs)
+    assert pii._stretches("host 10-0-0-1 up")
+    assert ("host 10-0-0-1 up"[5:13], 1) in [("host 10-0-0-1 up"[s:e], k) for s, k, e in field.spans("host 10-0-0-1 up")]
+
+
+def test_clear_of_spans():
+    rng = random.Random(3)
+    for _ in range(200):
+        taken = [(s, s + rng.randrange(1, 9)) for s in rng.sample(range(60), 6)]
+        clear = clear_of(taken)
+        for _ in range(20):
+            s = rng.randrange(60)
+            e = s + rng.randrange(1, 9)
+            assert clear(s, e) == (not any(a < e and s < b for a, b in taken))

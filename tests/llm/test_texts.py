@@ -95,6 +95,29 @@ def test_terms_outside_the_lexicons_at_the_first_level(spark):
     assert got[0]["edited_fingerprint"] and got[0]["near_edited"] > 0 and got[9]["fingerprint"] == ""
 
 
+def test_equal_texts_before_different_followers(spark):
+    """Texts with few terms in the band, and such that their edited forms have few: what follows a text changes nothing in its print."""
+    rng = random.Random(7)
+    common = [f"common{i}" for i in range(400)]
+    rows, number = [], 0
+    for k in range(24):
+        rare = [f"rare{k}x{i}" for i in range(rng.choice([40, 700, 1500]))]
+        few = rng.sample(common, rng.choice([1, 3, 20, 60]))
+        text = rng.sample(rare + few, len(rare) + len(few))
+        for _ in range(3):
+            rows.append((number, " ".join(text)))
+            rows.append((number + 1, " ".join(f"tail{number}x{i}" for i in range(rng.choice([1, 50, 3000])))))
+            number += 2
+    got = {i: r for i, _, r in fingerprint_rows(spark.createDataFrame(rows, "doc_id long, text string"))}
+    prints = {}
+    for i, t in rows:
+        prints.setdefault(t, set()).add(got[i]["fingerprint"])
+    assert all(len(p) == 1 for p in prints.values())
+    copies = [t for t in prints if "common" in t]
+    starts = {int(next(iter(prints[t])).split(":")[0]) - imatch._level(len(t.split())) for t in copies}
+    assert len(copies) == 24 and min(starts) < 0 and max(starts) == 0  # both branches
+
+
 def test_fingerprints_of_odd_rows(odd, empty):
     rows = imatch.fingerprints(odd).collect()
     assert len(rows) == 13 and all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in rows)
