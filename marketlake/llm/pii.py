@@ -84,7 +84,7 @@ def base_spans(text: str) -> list[Span]:
 
 
 # words are taken from their starts only, and digit groups are bounded: a long run is passed in linear time
-_STRETCH = re.compile(r"@|[0-9](?:[^0-9\n]{0,3}[0-9]){6,}|(?<![0-9])[0-9]{1,3}(?:[^A-Za-z0-9\n]{1,3}[0-9]{1,3}){3}(?![0-9])|(?<![A-Za-z0-9])[A-Za-z0-9]+ at [A-Za-z0-9]+(?: dot [A-Za-z0-9]+)+")
+_STRETCH = re.compile(r"@|[0-9](?:[^A-Za-z0-9\n]{0,3}[0-9]){6,}|(?<![0-9])[0-9]{1,3}(?:[^A-Za-z0-9\n]{1,3}[0-9]{1,3}){3}(?![0-9])|(?<![A-Za-z0-9])[A-Za-z0-9]+ at [A-Za-z0-9]+(?: dot [A-Za-z0-9]+)+")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s|.", re.DOTALL)
 _AROUND = 24
 _CUES = tuple(re.compile(p) for p in (r"mail|contact|write", r"\bip\b|host|server|addr", r"card|visa|credit|pay", r"phone|tel|call|fax|mobile"))
@@ -173,13 +173,16 @@ def _lattice(text: str, a: int, b: int) -> _Lattice:
     for i, (s, _) in enumerate(tokens):
         if not (text[s].isalnum() or text[s] in "+(_.%-"):
             continue
-        digits, sign = 0, False
+        digits, sign, letters = 0, False, False
         for j in range(i, min(len(tokens), i + LONGEST)):
             t0, t1 = tokens[j]
             digits += t1 - t0 if "0" <= text[t0] <= "9" else 0
             sign = sign or text[t0] == "@" or text[t0:t1] == "dot"
+            letters = letters or text[t0].isalpha()
             if text[t0] == "\n":
                 break
+            if letters and not sign:
+                continue  # addresses only have letters
             if not text[t1 - 1].isalnum() and text[t1 - 1] not in "-)" or not (sign or 4 <= digits <= 20):
                 continue
             kinds_here = _possible(text[s:t1], digits)
