@@ -3,7 +3,7 @@
 A source's rate is its target share of the corpus over its actual share, both in code points. Every document is repeated a
 Poisson number of times with that mean: the inverse distribution function is read at a number hashed from the seed and the
 document's id, so that a document's count depends on nothing else and a rerun repeats it. Copies are then shuffled globally:
-they are ordered by a hash of seed, id and copy over range partitions.
+they are ordered by a hash of seed, id and copy, over partitions that are equal ranges of the hash.
 
 One small table of the sources is joined: up to ``FEW_SOURCES`` rows are sent to every task, so that a source with a third of
 all rows stays spread as it was read; no group is gathered.
@@ -28,6 +28,8 @@ SEED = 17
 FEW_SOURCES = 2_000
 #: Rates above this are drawn as sums of several draws, as the first probability would vanish.
 LARGEST_RATE = 64.0
+#: Copies of a row that are listed at once.
+RUN = 1024
 
 
 def _hashed(seed: int, doc_id: Column, n: Column) -> Column:
@@ -70,19 +72,26 @@ def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, se
     """
     draws = F.greatest(F.lit(1), F.ceil(F.col("rate") / LARGEST_RATE)).cast("int")
     table = rates(docs, weights, source, text).withColumn("_draws", draws).select(F.col("source").alias("_source"), "_draws", _steps(F.col("rate") / F.col("_draws")).alias("_steps"))
-    drawn = F.aggregate(
-        F.sequence(F.lit(0), F.col("_draws") - 1), F.lit(0),
-        lambda s, k: s + F.size(F.filter("_steps", lambda step: step <= _uniform(seed, F.col(f"_row.{doc_id}"), k))),
-    )
+    names = {c: f"_own{i}" for i, c in enumerate(docs.columns)}
+    own, of = names[doc_id], names[source]
+    # the numbers stand in the list that is folded over, so that each is hashed once and not once a step
+    numbers = F.transform(F.sequence(F.lit(0), F.col("_draws") - 1), lambda k: _uniform(seed, F.col(own), k))
+    drawn = F.aggregate(numbers, F.lit(0), lambda s, u: s + F.size(F.filter("_steps", lambda step: step <= u)))
     table = stored(table)
     if table.count() <= FEW_SOURCES:
         table = F.broadcast(table)
-    rows = docs.select(F.struct("*").alias("_row"))
-    counted = rows.join(table, F.col(f"_row.{source}").eqNullSafe(F.col("_source"))).select("_row", drawn.alias("_n")).filter("_n > 0")
-    copies = counted.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy"))
-    keyed = copies.withColumn("_key", _hashed(seed, F.col(f"_row.{doc_id}"), F.col("_copy")))
-    shuffled = keyed.repartitionByRange(width(docs.sparkSession), "_key").sortWithinPartitions("_key")
+    rows = docs.toDF(*names.values())
+    counted = rows.join(table, F.col(of).eqNullSafe(F.col("_source"))).select(*names.values(), drawn.alias("_n")).filter("_n > 0")
+    # in two steps: a count of any size makes lists of bounded length
+    runs = counted.select(*names.values(), "_n", F.explode(F.sequence(F.lit(0), ((F.col("_n") - 1) / RUN).cast("int"))).alias("_run"))
+    first = F.col("_run") * RUN + 1
+    copies = runs.select(*names.values(), F.explode(F.sequence(first, F.least(F.col("_n"), first + (RUN - 1)))).alias("_copy"))
+    keyed = copies.withColumn("_key", _hashed(seed, F.col(own), F.col("_copy")))
+    # keys are uniform: equal ranges of their leading bits need no sample of the rows
+    parts = width(docs.sparkSession)
+    part = F.shiftright(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * parts, 32).cast("int")
+    shuffled = keyed.repartitionById(parts, part).sortWithinPartitions("_key")
     if not number:
-        return shuffled.select("_row.*")
-    rest = [F.col("_row")[c].alias(c) for c in docs.columns if c.lower() not in ("copy", "shuffle_key")]
+        return shuffled.select(*names.values()).toDF(*docs.columns)
+    rest = [F.col(n).alias(c) for c, n in names.items() if c.lower() not in ("copy", "shuffle_key")]
     return shuffled.select(*rest, F.col("_copy").alias("copy"), F.col("_key").alias("shuffle_key"))

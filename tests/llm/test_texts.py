@@ -98,12 +98,12 @@ def test_terms_outside_the_lexicons_at_the_first_level(spark):
 def test_equal_texts_before_different_followers(spark):
     """Texts with few terms in the band, and such that their edited forms have few: what follows a text changes nothing in its print."""
     rng = random.Random(7)
-    common = [f"common{i}" for i in range(400)]
+    common, frequent = [f"common{i}" for i in range(400)], [f"frequent{i}" for i in range(1200)]
     rows, number = [], 0
     for k in range(24):
-        rare = [f"rare{k}x{i}" for i in range(rng.choice([40, 700, 1500]))]
-        few = rng.sample(common, rng.choice([1, 3, 20, 60]))
-        text = rng.sample(rare + few, len(rare) + len(few))
+        few = rng.sample(common, rng.choice([2, 3, 20, 60]))  # in the band; the frequent ones are in most texts
+        text = rng.sample(frequent, 1000 if k % 6 else 3) + few
+        rng.shuffle(text)
         for _ in range(3):
             rows.append((number, " ".join(text)))
             rows.append((number + 1, " ".join(f"tail{number}x{i}" for i in range(rng.choice([1, 50, 3000])))))
