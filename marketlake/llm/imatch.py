@@ -285,10 +285,13 @@ def _print(hashes: np.ndarray, level: int, last: int | None = None) -> str:
     if not len(hashes):
         return ""
     out = []
+    found = np.sort(hashes)
     for at in range(level, (level if last is None else last) + DEPTH + 1):
-        found = np.sort(_sampled(hashes, at))
+        found = _sampled(found, at)
         own = found & (LEXICONS - 1)
-        out.append(f"{at}:" + ",".join(xxhash.xxh3_64_hexdigest(found[own == s].tobytes())[:8] if (own == s).any() else "" for s in range(LEXICONS)))
+        by = np.argsort(own, kind="stable")
+        packed, bounds = found[by].tobytes(), (8 * np.searchsorted(own[by], np.arange(LEXICONS + 1))).tolist()
+        out.append(f"{at}:" + ",".join(xxhash.xxh3_64_hexdigest(packed[a:b])[:8] if a < b else "" for a, b in zip(bounds, bounds[1:])))
     return ";".join(out)
 
 

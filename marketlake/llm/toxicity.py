@@ -10,7 +10,8 @@ Witnesses against words of clean documents train the machine on Nyström feature
 the inverse root of the landmarks' own kernel matrix). It then names witnesses and the most misleading clean words itself and
 is trained again. As the kernel is a product of sums over symbol triples, the trained machine folds into one table with a
 weight for each triple, of fixed size, and a word's value is a sum of table entries. A document's score is a logistic
-function of the values of its three foremost words and the number of its words.
+function of the values of its three foremost words and the number of its words, fitted also to toxic documents as if only their
+foremost word spoke for the label: more insults in the labelled documents do not make a single one harmless.
 
 Only the fit is done on a bounded sample: at most ``MOST_LABELLED`` labelled rows, the first by a hash of the id. Every whole
 text is scored.
@@ -43,6 +44,10 @@ DECAY, SPAN = 0.6, 4
 RIDGE = 1e-4
 #: Words that a toxic document names as witnesses at first.
 NAMED = 3
+#: A witness is in so many times the share of toxic documents as of clean ones, at least.
+LIFT = 4
+#: One toxic document in so many is also learnt from as if it had one insult.
+ALONE = 8
 #: The two steps of each triple of symbols.
 STEPS = [(j, k) for j in range(1, SPAN) for k in range(1, SPAN) if j + k <= SPAN]
 #: Symbols, and the code of what separates words; codes 1 to 26 are a to z, 27 to 58 other letters, 59 is a digit.
@@ -319,7 +324,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         return nothing
     words = _distinct_words(sample)
     stats = stored(words.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")))
-    speaks = F.struct((F.col("t") - 5 * F.col("c")).alias("for"), F.xxhash64("word").alias("tie"), "word")
+    # counts are weighed by the sizes of both kinds, as a few wrong labels put true witnesses into clean documents
+    share = min(1.0, counts[True] / counts[False])
+    speaks = F.struct((F.col("t") - LIFT * share * F.col("c")).alias("for"), F.xxhash64("word").alias("tie"), "word")
     foremost = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("best")))
     named = words.filter("toxic = 1").join(stats, "word").select("n", speaks.alias("best")).withColumn("rank", foremost)
     witness = named.filter((F.col("best.for") > 0) & (F.col("rank") <= NAMED)).groupBy("best.word").agg(F.count("*").alias("votes"), F.max("best.for").alias("t"))
@@ -335,8 +342,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     for _ in range(2):
         led = _leaders(sample, model)
         again = led.filter("toxic = 1 and value > 0").groupBy("word").agg(F.count("*").alias("votes")).orderBy(F.desc("votes"), "word").limit(WITNESSES).collect()
-        misled = led.filter("toxic = 0").groupBy("word").agg(F.max("value").alias("value")).orderBy(F.desc("value"), "word").limit(WITNESSES).collect()
-        hard = [bytes(r["word"]) for r in misled]
+        misled = led.filter("toxic = 0").groupBy("word").agg(F.max("value").alias("value"), F.count("*").alias("votes")).orderBy(F.desc("value"), "word").limit(WITNESSES).collect()
+        # a word that leads many more toxic documents than clean ones is a witness whose clean documents are wrongly labelled
+        leads = {bytes(r["word"]): r["votes"] for r in again}
+        hard = [w for r in misled if leads.get(w := bytes(r["word"]), 0) <= LIFT * share * r["votes"]]
         seen = set(hard)
         pos = {w: v for w, v in named_by_count.items() if w not in seen}
         for r in again:
@@ -353,7 +362,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     seen = sample.select("toxic", F.pandas_udf(values, "array<double>")("text").alias("x")).collect()
     x, y = np.array([r["x"] for r in seen], float), np.array([r["toxic"] for r in seen], float)
-    model.logistic = _logistic(x, y)
+    # a toxic document stays one with a single insult left: of some, the foremost word alone is learnt from too
+    alone = x[y == 1][::ALONE] * [1, 0, 0, 1]
+    model.logistic = _logistic(np.vstack([x, alone]), np.concatenate([y, np.ones(len(alone))]))
     return model
 
 

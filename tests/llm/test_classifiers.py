@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from marketlake.llm import quality, toxicity
 from marketlake.llm.common import held_out, read_table, text_or_empty
@@ -41,6 +42,17 @@ def test_toxicity_on_held_out_labels(spark):
     assert (said & (got.toxic == 0)).sum() <= 5 and (said & (got.toxic == 1)).sum() >= 0.88 * (got.toxic == 1).sum()
     plain, gapped, clean = model.score(["what an idiot, pathetic", "what an i.d.i.o.t, pa-thetic", "a nice morning"], TABLE)
     assert plain > 0.5 and gapped > 0.5 and clean < 0.2
+    single = model.score([f"so he went on to the market again, {w}, and bought what was left of the bread" for w in ("idiot", "s.t.u.p.i.d", "pathetic", "MORON")], TABLE)
+    assert (single > 0.5).all()  # though labelled documents have several each
+
+
+def test_toxicity_with_some_wrong_labels(spark):
+    docs, labels = read_table(spark, LARGER, "documents"), read_table(spark, LARGER, "labels")
+    wrong = labels.withColumn("toxic", F.when(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(100)) < 3, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    model = toxicity.fit(docs, wrong)
+    got = docs.join(labels, "doc_id").select(held_out().alias("held_out"), "toxic", toxicity.scores(text_or_empty(), model).alias("score")).filter("held_out").toPandas()
+    said = got.score >= 0.5
+    assert (said & (got.toxic == 1)).sum() >= 0.85 * (got.toxic == 1).sum() and (said & (got.toxic == 0)).sum() <= 0.025 * (got.toxic == 0).sum()
 
 
 def test_toxicity_odd_rows(odd, empty, docs, labels):
