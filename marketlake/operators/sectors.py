@@ -6,14 +6,14 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from marketlake.functions.keyed import require_columns
+from marketlake.functions.keyed import first_n, require_columns
 from marketlake.functions.numeric import gated_avg, safe_div
 from marketlake.functions.text import join_symbol_key
 from marketlake.operators.normalize import normalize_eod
 
 __all__ = [
-    "attach_levels", "sector_daily", "explode_levels", "market_returns", "sector_contributors",
-    "sector_features", "sector_index", "sector_members", "with_relative_strength",
+    "attach_levels", "contributor_rows", "sector_daily", "explode_levels", "market_returns", "sector_contributors",
+    "sector_features", "sector_index", "sector_members", "top_contributors", "with_relative_strength",
 ]
 
 _SECTOR_DAY = ["sector_level", "sector_code", "date"]
@@ -104,6 +104,34 @@ def sector_daily(features: DataFrame, symbols: DataFrame, levels: Mapping[int, s
     )
 
 
+def contributor_rows(features: DataFrame, symbols: DataFrame, levels: Mapping[int, str]) -> DataFrame:
+    """One row per member of a sector and day: weight, contribution, its share of all contributions, above_ma20.
+
+    Members count alike; a member without a return contributes 0. Only a day's sums are joined to the rows, and they are
+    reduced on the map side, so no sector day is gathered.
+    """
+    rows = explode_levels(attach_levels(features, symbols, levels), levels).select(
+        *_SECTOR_DAY, "symbol", F.col("return_1d").alias("return"), F.coalesce("above_ma20", F.lit(False)).alias("above_ma20")
+    )
+    sums = rows.groupBy(*_SECTOR_DAY).agg(F.count("*").alias("_n"), F.sum(F.abs(F.coalesce("return", F.lit(0.0)))).alias("_all"))
+    weight, own = F.lit(1.0) / F.col("_n"), F.coalesce("return", F.lit(0.0))
+    share = F.coalesce(safe_div(F.abs(own), F.col("_all")), F.lit(0.0))
+    return rows.join(sums, list(_SECTOR_DAY)).select(
+        *_SECTOR_DAY, "symbol", weight.alias("weight"), "return", (weight * own).alias("contribution"), share.alias("contribution_share"), "above_ma20"
+    )
+
+
+def top_contributors(rows: DataFrame, most: int = 3, salts: int = 16) -> DataFrame:
+    """The ``most`` members of each sector and day that contribute most, with their ``rank``; equal ones by symbol.
+
+    In two steps: first within parts of a sector day, so that a sector with most of the rows is spread over tasks.
+    """
+    best = [F.desc("contribution"), F.col("symbol")]
+    salted = first_n(rows.withColumn("_part", F.pmod(F.xxhash64("symbol"), F.lit(salts))), [*_SECTOR_DAY, "_part"], best, most).drop("_part")
+    ranked = salted.withColumn("rank", F.row_number().over(W.partitionBy(*_SECTOR_DAY).orderBy(*best)))
+    return ranked.where(F.col("rank") <= most)
+
+
 def sector_contributors(features: DataFrame, symbols: DataFrame, levels: Mapping[int, str]) -> DataFrame:
     """Nested contributor list and top-3 share per sector and day.
 

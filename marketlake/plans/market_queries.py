@@ -173,6 +173,24 @@ def sector_contributors(spark, sf_dir):
     )
 
 
+@query("sector_contributor_rows", with_ctes(f"""
+SELECT {_SECTOR_KEYS_SQL}, symbol, round(1.0 / count(*) OVER d, 6) weight, round(return_1d, 6) AS "return", round(contribution, 6) contribution,
+  round(coalesce(abs(contribution) / nullif(sum(abs(contribution)) OVER d, 0), 0), 6) contribution_share, coalesce(above_ma20, false) above_ma20
+FROM contributions WINDOW d AS (PARTITION BY sector_level, sector_code, date)""", "contributions"))
+def sector_contributor_rows(spark, sf_dir):
+    rows = sectors.contributor_rows(symbol_feature_table(spark, sf_dir), fixtures.symbols(spark, sf_dir), LEVELS)
+    return rows.select(*_sector_keys(), "symbol", *rounded(6, "weight", "return", "contribution", "contribution_share"), "above_ma20")
+
+
+@query("sector_top_contributors", with_ctes(f"""
+SELECT {_SECTOR_KEYS_SQL}, "rank", symbol, round(contribution, 6) contribution, round(coalesce(abs(contribution) / nullif(total, 0), 0), 6) contribution_share
+FROM (SELECT *, row_number() OVER (PARTITION BY sector_level, sector_code, date ORDER BY contribution DESC, symbol) AS "rank",
+  sum(abs(contribution)) OVER (PARTITION BY sector_level, sector_code, date) total FROM contributions) WHERE "rank" <= 3""", "contributions"))
+def sector_top_contributors(spark, sf_dir):
+    rows = sectors.contributor_rows(symbol_feature_table(spark, sf_dir), fixtures.symbols(spark, sf_dir), LEVELS)
+    return sectors.top_contributors(rows).select(*_sector_keys(), "rank", "symbol", *rounded(6, "contribution", "contribution_share"))
+
+
 @query("sector_index", with_ctes(f"""
 SELECT {_SECTOR_KEYS_SQL}, round(sector_index, 4) sector_index, round(ma20, 4) ma20 FROM indexed""", "indexed"))
 def sector_index(spark, sf_dir):

@@ -182,3 +182,19 @@ def test_sector_records_of_every_level(spark):
     for name in ("sector_records_merge_levels", "sectors_upsert_levels"):
         levels = {r[0] for r in entry.queries()[name](spark, "/root/testdata/sf0.001").select("taxonomy_level").distinct().collect()}
         assert levels == {1, 2, 3}  # these companies have no fourth level
+
+
+def test_flat_contributors_equal_the_nested_ones(spark):
+    """Ties go by symbol, members without a return contribute nothing, and parts of a sector day do not change its top."""
+    day = dt.date(2024, 1, 2)
+    rows = [(f"S{i:02d}", "HOSE", day, r, i % 2 == 0) for i, r in enumerate([0.1, None, -0.3, 0.1, 0.2, 0.1, 0.0, None])] + [("S00", "HOSE", dt.date(2024, 1, 3), None, None)]
+    feats = spark.createDataFrame(rows, "symbol string, exchange string, date date, return_1d double, above_ma20 boolean")
+    names = spark.createDataFrame([(f"S{i:02d}", "HOSE", "A") for i in range(8)], "code string, exchange string, sectorlv1code string")
+    flat = sectors.contributor_rows(feats, names, {1: "sectorlv1code"})
+    got = sorted((r.symbol, round(r.weight, 9), r["return"], round(r.contribution, 9), round(r.contribution_share, 9), r.above_ma20) for r in flat.where(F.col("date") == F.lit(day)).collect())
+    nested = sectors.sector_contributors(feats, names, {1: "sectorlv1code"}).where(F.col("date") == F.lit(day)).first().contributors
+    assert got == sorted((c.symbol, round(c.weight, 9), c["return"], round(c.contribution, 9), round(c.contribution_share, 9), c.above_ma20) for c in nested)
+    for salts in (1, 3):
+        top = sectors.top_contributors(flat, 3, salts).orderBy("date", "rank").collect()
+        assert [(r.symbol, r["rank"]) for r in top] == [("S04", 1), ("S00", 2), ("S03", 3), ("S00", 1)]
+    assert flat.where(F.col("date") == F.lit(dt.date(2024, 1, 3))).first().contribution_share == 0
