@@ -10,7 +10,7 @@ from marketlake.functions.keyed import first_n
 from marketlake.functions.text import blank_to_null
 
 __all__ = [
-    "UUID_PATTERN", "apply_statuses", "changed_signals", "execution_notices", "rejected_statuses", "rollup", "signal_digest",
+    "UUID_PATTERN", "apply_statuses", "changed_signals", "enriched", "execution_notices", "rejected_statuses", "rollup", "signal_digest",
     "transition_failure_notices",
 ]
 
@@ -20,6 +20,11 @@ TERMINAL = ["SUCCESS", "FAILED", "ERROR"]
 DIGEST_ITEMS = 20
 UUID_PATTERN = r"(?i)^[0-9a-f]{1,8}(-[0-9a-f]{1,4}){3}-[0-9a-f]{1,12}$"
 _NUMERIC_META = ("recordsProcessed", "recordsInserted")
+# Metadata keys that a message's own fields are stored under.
+_ENRICHED = {
+    "symbolKey": "symbol_key", "jobDefinitionId": "job_definition_id", "executionId": "execution_id",
+    "parentExecutionId": "parent_execution_id", "durationMs": "duration_ms", "recordsProcessed": "records_processed",
+}
 
 
 def _is_terminal(c: Column) -> Column:
@@ -95,6 +100,29 @@ def apply_statuses(messages: DataFrame, executions: DataFrame, id_pattern: str |
     return out.drop("_hit")
 
 
+def enriched(messages: DataFrame) -> DataFrame:
+    """Status messages with ``records_synced`` and with their own fields in ``meta``.
+
+    Records are ``records_processed``, else the metadata's recordsProcessed, else its recordsInserted, else 0; blank or odd
+    text counts as absent. Fields that a message has go over the metadata's entries of the same name, absent ones do not.
+    """
+    has = set(messages.columns)
+    meta = F.coalesce(F.col("meta"), F.create_map().cast("map<string,string>")) if "meta" in has else F.create_map().cast("map<string,string>")
+
+    def whole(key: str) -> Column:
+        text = blank_to_null(meta[key])
+        return F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("int"))
+
+    own = F.col("records_processed").cast("int") if "records_processed" in has else F.lit(None).cast("int")
+    records = F.coalesce(own, *[whole(key) for key in _NUMERIC_META], F.lit(0)).cast("bigint")
+    told = [x for key, c in _ENRICHED.items() if c in has for x in (F.lit(key), F.col(c).cast("string"))]
+    if not told:
+        return messages.withColumns({"records_synced": records, "meta": meta})
+    fields = F.map_filter(F.create_map(*told), lambda _, v: v.isNotNull())
+    kept = F.map_filter(meta, lambda k, _: ~F.map_contains_key(fields, k))
+    return messages.withColumns({"records_synced": records, "meta": F.map_concat(kept, fields)})
+
+
 def _merge_meta(out: DataFrame, valid: DataFrame) -> DataFrame:
     """Overlay message metadata, key by key; the number of keys per execution is small."""
     cut = out.where("applied_seq is not null").select(F.col("id").alias("execution_id"), "applied_seq")

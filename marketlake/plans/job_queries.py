@@ -235,6 +235,26 @@ def status_apply(spark, sf_dir):
     return out.select("id", "status", F.coalesce("applied_seq", F.lit(-1)).alias("applied_seq"), F.col("meta")["k"].alias("k"))
 
 
+@query("status_enriched", with_ctes("""
+SELECT e.id, CASE WHEN e.status = 'FAILED' OR c.cut IS NULL THEN e.status WHEN d.status = 'ERROR' THEN 'FAILED' ELSE d.status END status,
+  CASE WHEN e.status <> 'FAILED' AND c.cut IS NOT NULL THEN CASE d.seq % 3 WHEN 0 THEN d.seq % 1000 WHEN 1 THEN d.seq % 77 ELSE 0 END END::bigint records_synced,
+  CASE WHEN e.status <> 'FAILED' THEN m.symbol_key END symbol_key, CASE WHEN e.status <> 'FAILED' AND c.cut IS NOT NULL THEN e.id END execution_id,
+  CASE WHEN e.status <> 'FAILED' THEN m.processed END processed, 'stored' origin
+FROM known_execs e LEFT JOIN cuts c ON c.execution_id = e.id LEFT JOIN accepted d ON d.execution_id = e.id AND d.seq = c.cut LEFT JOIN (
+  SELECT a.execution_id, max_by('HOSE-' || a.execution_id, a.seq) FILTER (WHERE a.seq % 5 > 0) symbol_key, max_by((a.seq % 1000)::varchar, a.seq) FILTER (WHERE a.seq % 3 = 0) processed
+  FROM accepted a JOIN cuts USING (execution_id) WHERE a.seq <= cut GROUP BY a.execution_id) m ON m.execution_id = e.id""", "known_execs", "cuts"))
+def status_enriched(spark, sf_dir):
+    """Records from the message or its metadata, fields of messages stored with the metadata; only what a message has."""
+    seq = F.col("seq")
+    messages = fixtures.status_stream(spark, sf_dir).withColumns({
+        "records_processed": F.when(seq % 3 == 0, (seq % 1000).cast("int")),
+        "symbol_key": F.when(seq % 5 > 0, F.concat(F.lit("HOSE-"), F.col("execution_id"))),
+        "meta": F.when(seq % 3 == 1, F.create_map(F.lit("recordsInserted"), (seq % 77).cast("string"))).when(seq % 3 == 2, F.create_map(F.lit("recordsInserted"), F.lit(" "))),
+    })
+    out = ex.apply_statuses(ex.enriched(messages), _known(spark, sf_dir), id_pattern=None)
+    return out.select("id", "status", "records_synced", *[F.col("meta")[k].alias(c) for k, c in (("symbolKey", "symbol_key"), ("executionId", "execution_id"), ("recordsProcessed", "processed"), ("origin", "origin"))])
+
+
 @query("status_rejects", with_ctes("""
 SELECT seq, CASE WHEN status = 'PARTIAL_SUCCESS' THEN 'INVALID_STATUS' ELSE 'UNKNOWN_EXECUTION' END reason
 FROM statuses s WHERE status = 'PARTIAL_SUCCESS' OR NOT EXISTS (SELECT 1 FROM known_execs e WHERE e.id = s.execution_id AND e.status = 'PENDING')""", "statuses", "known_execs"))

@@ -112,6 +112,15 @@ def messages(spark, rows):
     return spark.createDataFrame(rows, "seq long, execution_id string, status string, parent_execution_id string, meta map<string,string>")
 
 
+def test_enriched_statuses(spark):
+    rows = [(1, "a", None, None, {"recordsProcessed": "7", "recordsInserted": "3", "symbolKey": "old"}), (2, "b", 5, "HOSE-X", {"symbolKey": "old", "x": "1"}),
+            (3, "c", None, None, {"recordsProcessed": " ", "recordsInserted": "3"}), (4, "d", None, None, {"recordsProcessed": "odd", "recordsInserted": "1.5"}), (5, "e", None, None, None)]
+    got = {r.seq: (r.records_synced, r.meta) for r in ex.enriched(spark.createDataFrame(rows, "seq long, execution_id string, records_processed int, symbol_key string, meta map<string,string>")).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: 7, 2: 5, 3: 3, 4: 0, 5: 0}
+    assert got[1][1] == {"recordsProcessed": "7", "recordsInserted": "3", "symbolKey": "old", "executionId": "a"}
+    assert got[2][1] == {"symbolKey": "HOSE-X", "x": "1", "executionId": "b", "recordsProcessed": "5"} and got[5][1] == {"executionId": "e"}
+
+
 def test_first_terminal_status_wins(spark):
     runs = spark.createDataFrame(
         [(U.format(1), "PENDING", {"a": "0"}), (U.format(2), "SUCCESS", {}), (U.format(3), "PENDING", {})], "id string, status string, meta map<string,string>"
