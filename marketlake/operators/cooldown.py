@@ -13,7 +13,7 @@ pointer doubling gives them in as many rounds as the longest chain's length has
 round replaces every pointer by its target's pointer and adds the ranks up.
 
 Only instants that precede others take part in the rounds, spread by key and time; a burst
-of any number of instants within one cooldown is one target. Each round is a written table.
+of any number of instants within one cooldown is one target. Every second round is a written table.
 """
 
 from __future__ import annotations
@@ -54,16 +54,21 @@ def _with_predecessor(moments: DataFrame, cooldown: int, width: int) -> DataFram
     return joined.select("key", "t", "n", "event_id", F.coalesce("before", "_end").alias("before"))
 
 
+def _doubled(state: DataFrame) -> DataFrame:
+    """Every pointer replaced by its target's pointer, the ranks added up."""
+    target = state.select("key", F.col("t").alias("to"), F.col("to").alias("_next"), F.col("rank").alias("_more"))
+    moved = state.join(target, ["key", "to"], "left")
+    return moved.select("key", "t", F.col("_next").alias("to"), (F.col("rank") + F.coalesce("_more", F.lit(0))).alias("rank"))
+
+
 def _ranks(pointers: DataFrame) -> DataFrame:
     """(key, t, rank): how many pointers lead from each instant to one without; ``pointers``: key, t, before.
 
-    Pointer doubling; null pointers end it.
+    Pointer doubling, twice between two written tables; null pointers end it.
     """
     state = cut_lineage(pointers.select("key", "t", F.col("before").alias("to"), F.col("before").isNotNull().cast("bigint").alias("rank")))
     while not state.where("to is not null").isEmpty():
-        target = state.select("key", F.col("t").alias("to"), F.col("to").alias("_next"), F.col("rank").alias("_more"))
-        moved = state.join(target, ["key", "to"], "left")
-        state = cut_lineage(moved.select("key", "t", F.col("_next").alias("to"), (F.col("rank") + F.coalesce("_more", F.lit(0))).alias("rank")))
+        state = cut_lineage(_doubled(_doubled(state)))
     return state.select("key", "t", "rank")
 
 
