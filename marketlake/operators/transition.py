@@ -18,7 +18,7 @@ from marketlake.functions.numeric import compounded, safe_div
 from marketlake.operators.normalize import upgrade_predictions
 
 __all__ = [
-    "TransitionAnalysis", "TransitionRequest", "analyze", "daily_leaders", "decisions",
+    "TransitionAnalysis", "TransitionRequest", "analyze", "daily_leaders", "decisions", "direction",
     "historical_forward_return", "missing_sector_states", "normalize_codes", "outcomes", "predictions",
     "probabilities", "require_sector_states", "state_at", "target_trading_date", "transition_accuracy",
     "transition_counts",
@@ -264,7 +264,8 @@ def target_trading_date(sectors: DataFrame, request: TransitionRequest) -> DataF
     return asked.join(numbered, "horizon_sessions", "left")
 
 
-def _direction(value: Column) -> Column:
+def direction(value: Column) -> Column:
+    """UP, DOWN or FLAT by the action threshold."""
     return F.when(value > SCORE_THRESHOLD, "UP").when(value < -SCORE_THRESHOLD, "DOWN").otherwise("FLAT")
 
 
@@ -294,7 +295,7 @@ def outcomes(predicted: DataFrame, sectors: DataFrame, request: TransitionReques
         F.col("date").alias("resolved_date"),
     )
     target = F.col("target_date") if "target_date" in candidates.columns else F.col("resolved_date")
-    expected, actual = _direction(F.col("predicted_return")), _direction(F.col("realized_return"))
+    expected, actual = direction(F.col("predicted_return")), direction(F.col("realized_return"))
     return candidates.join(realised, ["to_sector", "horizon_sessions"]).select(
         "evaluation_date", "resolved_date", target.alias("target_date"), "strategy", "timeframe", "sector_level",
         F.col("to_sector").alias("sector_code"), "from_sector", "to_sector", "horizon_sessions",

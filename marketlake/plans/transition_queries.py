@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from marketlake.operators import transition as tr
+from marketlake.operators import transition as tr, transition_dates as td
 from marketlake.plans.ctes import define, with_ctes
 from marketlake.plans.daily import sector_series, sector_table
 from marketlake.plans.registry import big, query, rnd, rounded
@@ -166,3 +166,86 @@ def transition_accuracy(spark, sf_dir):
     return tr.transition_accuracy(analysis.decisions, resolved).select(
         "action", "to_sector", big("horizon_sessions"), big("probability_bucket"), "n", rnd("accuracy")
     )
+
+
+# Every month end as the evaluation date; the twins cut the history once per date.
+define("ends", "SELECT max(date) t FROM hist GROUP BY date_trunc('month', date)", "hist")
+define("t_known", "SELECT t, hist.* FROM hist JOIN ends ON date <= t", "hist", "ends")
+define("t_leaders", """
+SELECT t, date, sector_code leader FROM (
+  SELECT *, row_number() OVER (PARTITION BY t, date ORDER BY relative_strength DESC NULLS LAST, sector_code) rn FROM t_known) WHERE rn = 1""", "t_known")
+define("t_counts", """
+SELECT t, h, leader from_sector, nxt to_sector, count(*) transitions FROM (
+  SELECT t, h, leader, CASE h WHEN 1 THEN lead(leader, 1) OVER w WHEN 5 THEN lead(leader, 5) OVER w ELSE lead(leader, 10) OVER w END nxt
+  FROM t_leaders CROSS JOIN horizons WINDOW w AS (PARTITION BY t, h ORDER BY date))
+WHERE nxt IS NOT NULL GROUP BY ALL""", "t_leaders", "horizons")
+define("t_matrix", """
+SELECT g.t, g.h, g.f from_sector, g.u to_sector, sum(coalesce(transitions, 0)) OVER (PARTITION BY g.t, g.h, g.f) sample_count,
+  coalesce(coalesce(transitions, 0) / nullif(sum(coalesce(transitions, 0)) OVER (PARTITION BY g.t, g.h, g.f), 0), 0)::double probability
+FROM (SELECT t, h, f.sector_code f, u.sector_code u FROM ends CROSS JOIN horizons CROSS JOIN universe f CROSS JOIN universe u) g
+LEFT JOIN t_counts c ON c.t = g.t AND c.h = g.h AND c.from_sector = g.f AND c.to_sector = g.u""", "ends", "horizons", "universe", "t_counts")
+define("t_fwd", """
+SELECT t, sector_code, h, CASE WHEN count(*) > h THEN coalesce(avg(c), 0) ELSE 0 END predicted_return FROM (
+  SELECT t, sector_code, h, CASE WHEN row_number() OVER w >= h THEN
+    CASE h WHEN 1 THEN product(1 + coalesce(sector_return, 0)) OVER (w ROWS 0 PRECEDING) WHEN 5 THEN product(1 + coalesce(sector_return, 0)) OVER (w ROWS 4 PRECEDING)
+    ELSE product(1 + coalesce(sector_return, 0)) OVER (w ROWS 9 PRECEDING) END - 1 END c
+  FROM t_known CROSS JOIN horizons WINDOW w AS (PARTITION BY t, sector_code, h ORDER BY date)) GROUP BY t, sector_code, h""", "t_known", "horizons")
+define("t_state", """
+SELECT t, sector_code, date, relative_strength, sector_return, count(*) OVER (PARTITION BY t) sectors FROM (
+  SELECT *, row_number() OVER (PARTITION BY t, sector_code ORDER BY date DESC) rn FROM t_known) WHERE rn = 1""", "t_known")
+define("t_pred", """
+SELECT m.t, m.h, m.from_sector, m.to_sector, probability, sample_count, s.relative_strength current_relative_strength,
+  s.sector_return current_sector_return, s.date generated_from_date, predicted_return, predicted_return * probability score,
+  CASE WHEN predicted_return * probability > 0.01 THEN 'BUY' WHEN predicted_return * probability < -0.01 THEN 'SELL' ELSE 'HOLD' END action
+FROM t_matrix m JOIN t_state s ON s.t = m.t AND s.sector_code = m.from_sector AND s.sectors = 5
+JOIN t_fwd f ON f.t = m.t AND f.sector_code = m.to_sector AND f.h = m.h
+WHERE m.from_sector IN ('ASIA', 'EUROPE')""", "t_matrix", "t_state", "t_fwd")
+define("t_resolved", """
+SELECT *, CASE WHEN predicted_return > 0.01 THEN 'UP' WHEN predicted_return < -0.01 THEN 'DOWN' ELSE 'FLAT' END predicted_direction,
+  CASE WHEN realized_return > 0.01 THEN 'UP' WHEN realized_return < -0.01 THEN 'DOWN' ELSE 'FLAT' END realized_direction
+FROM t_pred JOIN (SELECT t, sector_code to_sector, row_number() OVER w h, date resolved_date,
+    product(1 + coalesce(sector_return, 0)) OVER (w ROWS UNBOUNDED PRECEDING) - 1 realized_return
+  FROM hist JOIN ends ON date > t WINDOW w AS (PARTITION BY t, sector_code ORDER BY date)) USING (t, to_sector, h)""", "t_pred", "hist", "ends")
+
+
+def _months(spark, sf_dir):
+    series = sector_table(spark, sf_dir).where("sector_level = 1")
+    return td.analyze_dates(series, td.month_ends(series.where(F.col("sector_code").isin(REQUEST.universe))), REQUEST)
+
+
+@query("transition_probabilities_months", with_ctes("""
+SELECT t evaluation_date, h::bigint horizon_sessions, from_sector, to_sector, round(probability, 6) probability,
+  sample_count::bigint sample_count FROM t_matrix""", "t_matrix"))
+def transition_probabilities_months(spark, sf_dir):
+    return _months(spark, sf_dir).probabilities.select(
+        "evaluation_date", big("horizon_sessions"), "from_sector", "to_sector", rnd("probability"), "sample_count"
+    )
+
+
+@query("transition_decisions_months", with_ctes("""
+SELECT t evaluation_date, h::bigint horizon_sessions, from_sector, to_sector, action, round(score, 6) score, round(probability, 6) confidence,
+  sample_count::bigint sample_count FROM t_pred""", "t_pred"))
+def transition_decisions_months(spark, sf_dir):
+    return _months(spark, sf_dir).decisions.select(
+        "evaluation_date", big("horizon_sessions"), "from_sector", "to_sector", "action", *rounded(6, "score", "confidence"), "sample_count"
+    )
+
+
+@query("transition_outcomes_months", with_ctes("""
+SELECT t evaluation_date, h::bigint horizon_sessions, from_sector, to_sector, resolved_date, round(predicted_return, 6) predicted_return,
+  round(realized_return, 6) realized_return, predicted_direction, realized_direction FROM t_resolved""", "t_resolved"))
+def transition_outcomes_months(spark, sf_dir):
+    return _months(spark, sf_dir).outcomes.select(
+        "evaluation_date", big("horizon_sessions"), "from_sector", "to_sector", "resolved_date",
+        *rounded(6, "predicted_return", "realized_return"), "predicted_direction", "realized_direction",
+    )
+
+
+@query("transition_accuracy_months", with_ctes("""
+SELECT action, to_sector, h::bigint horizon_sessions, least(floor(probability * 10), 9)::bigint probability_bucket, count(*)::bigint n,
+  round(avg((predicted_direction = realized_direction)::int), 6) accuracy FROM t_resolved GROUP BY ALL""", "t_resolved"))
+def transition_accuracy_months(spark, sf_dir):
+    months = _months(spark, sf_dir)
+    return tr.transition_accuracy(months.decisions, months.outcomes).select(
+        "action", "to_sector", big("horizon_sessions"), big("probability_bucket"), "n", rnd("accuracy")
+    )
