@@ -3,10 +3,12 @@
 Every text, less its white space, gets a 64-bit hash. Buckets are ranges of leading hash bits: the directory starts with
 few bits and doubles while a bucket holds more keys than its capacity, so that dense ranges are split and sparse ones are
 not. Owner tasks take key ranges, walk their rows in key order, chain texts that collide on a key and tell them apart by
-comparing bytes. Copies meet their like within each batch already, so a group of any size sends few texts to its owner.
+comparing bytes. Copies meet their like within each batch already, so a group of any size sends few texts to its owner,
+each with its number of rows and the best of them.
 
-Three small tables lie in the shared folder (``spark.checkpoint.dir``): entries (id, key, digest, length), the directory,
-and the chains. None holds whole texts, and nothing is gathered on the driver but a count.
+Three small tables lie in the shared folder (``spark.checkpoint.dir``): entries (id, key, digest), the directory, and the
+chains with the size of each group and the row that stays. None holds whole texts, and nothing is gathered on the driver but
+a count.
 
 Defined cases: a null text counts as empty, and empty texts are equal to each other. An id that is null loses a tie. Rows
 that repeat an id with equal text get a decision row each, all alike; :func:`drop_exact_copies` leaves one of them. An empty
@@ -55,7 +57,7 @@ def _leading(key: Column, bits: int) -> Column:
 
 def _entries(docs: DataFrame, doc_id: str, text: str, key_of: KeyOf) -> DataFrame:
     rows = docs.select(F.col(doc_id).alias("id"), text_or_empty(text).alias("text"))
-    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("key", T.LongType()), T.StructField("sha", T.BinaryType()), T.StructField("n", T.IntegerType())])
+    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("key", T.LongType()), T.StructField("sha", T.BinaryType())])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,8 +65,8 @@ def _entries(docs: DataFrame, doc_id: str, text: str, key_of: KeyOf) -> DataFram
                 ids, texts = batch.slice(start, 1024).columns
                 plain = _normal(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([key_of(b) for b in plain], pa.int64()), pa.array([hashlib.sha256(b).digest() for b in plain], pa.binary()), pc.utf8_length(texts).cast(pa.int32())],
-                    names=["id", "key", "sha", "n"],
+                    [ids, pa.array([key_of(b) for b in plain], pa.int64()), pa.array([hashlib.sha256(b).digest() for b in plain], pa.binary())],
+                    names=["id", "key", "sha"],
                 )
                 release()
 
@@ -94,62 +96,86 @@ def directory(keys: DataFrame, capacity: int = BUCKET_KEYS) -> tuple[DataFrame,
     return first.select("slot", F.col("at.bucket").alias("bucket"), F.col("at.bits").alias("bits")), depth
 
 
-def _chains(docs: DataFrame, text: str, depth: int, key_of: KeyOf) -> DataFrame:
-    """(key, slot, chain, sha): each different text of each key, numbered within its key by digest."""
-    rows = docs.select(text_or_empty(text).alias("text"))
+def _chains(docs: DataFrame, doc_id: str, text: str, depth: int, key_of: KeyOf) -> DataFrame:
+    """(key, chain, sha, group_size, keep_id, slot): each different text of each key, numbered within its key by digest,
+    with how many rows have it and the id of the one that stays. Rows join a link of the chain when their bytes are equal."""
+    rows = docs.select(F.col(doc_id).alias("id"), text_or_empty(text).alias("text"))
+    of_id = rows.schema["id"].dataType
+    sent = T.StructType([T.StructField("key", T.LongType()), T.StructField("plain", T.BinaryType()), T.StructField("rows", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("id", of_id)])
+    page = T.StructType([T.StructField("key", T.LongType()), T.StructField("chain", T.IntegerType()), T.StructField("sha", T.BinaryType()), T.StructField("group_size", T.LongType()), T.StructField("keep_id", of_id)])
+
+    def rank(n: int, row_id: object) -> tuple:
+        return -n, row_id is None, row_id
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
-                texts = sorted(set(_normal(batch.slice(start, 2048).column(0))))
-                yield pa.RecordBatch.from_arrays([pa.array([key_of(b) for b in texts], pa.int64()), pa.array(texts, pa.binary())], names=["key", "plain"])
+                ids, texts = batch.slice(start, 2048).columns
+                met: dict[bytes, tuple[int, tuple]] = {}
+                for plain, n, row_id in zip(_normal(texts), pc.utf8_length(texts).to_pylist(), ids.to_pylist()):
+                    count, best = met.get(plain, (0, rank(n, row_id)))
+                    met[plain] = count + 1, min(best, rank(n, row_id))
+                counts, best = [c for c, _ in met.values()], [r for _, r in met.values()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([key_of(b) for b in met], pa.int64()), pa.array(list(met), pa.binary()), pa.array(counts, pa.int64()), pa.array([-r[0] for r in best], pa.int32()), pa.array([r[2] for r in best], ids.type)],
+                    names=["key", "plain", "rows", "n", "id"],
+                )
                 release()
 
     def owner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: int | None = None
-        chain: list[bytes] = []
+        chain: list[list] = []  # [bytes, rows, rank] of each different text of the key walked
+        out: list[tuple] = []
+
+        def close() -> None:
+            links = sorted((hashlib.sha256(plain).digest(), rows, best[2]) for plain, rows, best in chain)
+            out.extend((at, i, *link) for i, link in enumerate(links))
 
-        def closed() -> list[tuple[int, int, bytes]]:
-            return [(at, i, sha) for i, sha in enumerate(sorted(hashlib.sha256(b).digest() for b in chain))]
+        def drained(id_type: pa.DataType) -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.int64(), id_type))], names=page.names)
+            out.clear()
+            return made
 
+        id_type = None
         for batch in batches:
-            out: list[tuple[int, int, bytes]] = []
-            for key, plain in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            id_type = batch.column(4).type
+            for key, plain, rows, n, row_id in zip(*[c.to_pylist() for c in batch.columns]):
                 if key != at:
-                    out += closed() if chain else []
-                    at, chain = key, [plain]
-                elif not any(plain == held for held in chain):
-                    chain.append(plain)
+                    if chain:
+                        close()
+                    at, chain = key, []
+                link = next((held for held in chain if held[0] == plain), None)
+                if link is None:
+                    chain.append([plain, rows, rank(n, row_id)])
+                else:
+                    link[1], link[2] = link[1] + rows, min(link[2], rank(n, row_id))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary()))], names=["key", "chain", "sha"])
+                yield drained(id_type)
         if chain:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*closed()), (pa.int64(), pa.int32(), pa.binary()))], names=["key", "chain", "sha"])
+            close()
+            yield drained(id_type)
 
-    owned = rows.mapInArrow(once, "key long, plain binary").repartition(width(docs.sparkSession), _leading(F.col("key"), depth))
-    found = owned.sortWithinPartitions("key").mapInArrow(owner, "key long, chain int, sha binary")
+    owned = rows.mapInArrow(once, sent).repartition(width(docs.sparkSession), _leading(F.col("key"), depth))
+    found = owned.sortWithinPartitions("key").mapInArrow(owner, page)
     return found.withColumn("slot", _leading(F.col("key"), depth))
 
 
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = BUCKET_KEYS, key_of: KeyOf = _key64) -> tuple[DataFrame, DataFrame]:
-    """The index of ``docs``: its entries (id, key, sha, n), and its pages (key, sha, chain, bucket)."""
+    """The index of ``docs``: its entries (id, key, sha), and its pages (key, sha, chain, bucket, group_size, keep_id)."""
     entries = stored(_entries(docs, doc_id, text, key_of))
     slots, depth = directory(entries.select("key").distinct(), capacity)
-    pages = stored(_chains(docs, text, depth, key_of).join(stored(slots), "slot").select("key", "sha", "chain", "bucket"))
+    pages = stored(_chains(docs, doc_id, text, depth, key_of).join(stored(slots), "slot").drop("slot", "bits"))
     return entries, pages
 
 
 def exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = BUCKET_KEYS, key_of: KeyOf = _key64) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, and its place in the index (bucket, chain).
 
-    Of equal texts the one with the most code points stays, of those the one with the smallest id.
+    Of equal texts the one with the most code points stays, of those the one with the smallest id. Both this choice and the
+    size of a group are what the owner of a key found along its chain; a row looks its link up by key and digest.
     """
     entries, pages = build_index(docs, doc_id, text, capacity, key_of)
-    best = entries.groupBy("key", "sha").agg(
-        F.count("*").alias("group_size"),
-        F.min(F.struct((-F.col("n")).alias("shorter"), F.col("id").isNull().alias("nameless"), F.col("id").alias("id"))).alias("best"),
-    )
-    groups = pages.join(best, ["key", "sha"]).select("key", "sha", "chain", "bucket", "group_size", F.col("best.id").alias("keep_id"))
-    return entries.join(groups, ["key", "sha"]).select(
+    return entries.join(pages, ["key", "sha"]).select(
         F.col("id").alias(doc_id), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"), "bucket", "chain",
     )

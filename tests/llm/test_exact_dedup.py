@@ -34,3 +34,16 @@ def test_dropping_keeps_columns(odd, empty):
     assert sorted((r["doc_id"] or 0) for r in rows) == [0, 3, 5, 6, 7, 8, 10, 11]
     assert next(r["text"] for r in rows if r["doc_id"] == 8) == LONG
     assert exact_dedup.exact_copies(empty).count() == 0 and exact_dedup.drop_exact_copies(empty).count() == 0
+
+
+def test_group_comes_from_the_chain(spark):
+    rows = [(i, " " * (i % 3) + "ab" if i % 2 else "cd\n" * (1 + i % 5)) for i in range(5000)] + [(None, "a b   "), (7, None), (7, "\t")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(5)
+    groups = {}
+    for row_id, text in rows:
+        row_id = None if row_id is None else str(row_id)
+        groups.setdefault("".join((text or "").split()), []).append((-len(text or ""), row_id is None, row_id))
+    for key_of in (exact_dedup._key64, lambda text: 1):
+        got = exact_dedup.exact_copies(docs, key_of=key_of).groupBy("text_sha256", "keep_id", "group_size", "chain").count().collect()
+        assert sorted((r["keep_id"] or "", r["group_size"]) for r in got) == sorted((min(g)[2] or "", len(g)) for g in groups.values())
+        assert all(r["count"] == r["group_size"] for r in got)
