@@ -172,9 +172,11 @@ def manifest_violations(manifests: DataFrame) -> DataFrame:
 
 
 def latest_ready(manifests: DataFrame, order: str = "generatedAt") -> DataFrame:
-    """The current manifest of each (dataset, partition): the newest READY one."""
+    """The current manifest of each (dataset, partition): the READY one with the highest publication number, which orders
+    two within a second too; where manifests carry none, the newest by ``order``."""
+    newest = ["publication", order] if "publication" in manifests.columns else [order]
     return keep_last(
-        manifests.where("status = 'READY'").withColumn("pk", partition_key(F.col("partition"))), ["dataset", "pk"], [order]
+        manifests.where("status = 'READY'").withColumn("pk", partition_key(F.col("partition"))), ["dataset", "pk"], newest
     )
 
 

@@ -42,9 +42,13 @@ def conform_history(df: DataFrame) -> DataFrame:
     return out.withColumns({"signal": F.upper("signal"), "revision": revision.cast("int")})
 
 
+#: Order of a stored history.
+CANONICAL_ORDER = ["strategy", "timeframe", "exchange", "symbol_key", "signal_date"]
+
+
 def canonical_order(df: DataFrame) -> DataFrame:
-    """Order inside the written files; no global sort is needed."""
-    return df.sortWithinPartitions("strategy", "timeframe", "exchange", "symbol_key", "signal_date")
+    """Order inside the written files; no global sort is needed. Writers by partition take :data:`CANONICAL_ORDER` as their order."""
+    return df.sortWithinPartitions(*CANONICAL_ORDER)
 
 
 def history_violations(df: DataFrame) -> DataFrame:

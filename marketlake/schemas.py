@@ -68,7 +68,7 @@ MANIFEST = _struct(
     dataVersion="string", objectCount="bigint", totalBytes="bigint", rowCount="bigint",
     columnCount="bigint", columns=T.ArrayType(_COLUMN), schemaVersion="int", schemaHash="string",
     generatedAt="string", minTimestamp="string", maxTimestamp="string", inputs=T.ArrayType(_INPUT),
-    sourceExecutionId="string",
+    sourceExecutionId="string", publication="bigint",
 )
 
 

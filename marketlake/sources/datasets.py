@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 import json
+import random
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import StructType
 
 from marketlake.operators import governance as gov
 from marketlake.schemas import MANIFEST
 
 __all__ = [
-    "VersionedTable", "append_events", "dataset_path", "file_system", "gather", "publish", "read_dataset", "read_manifests",
-    "read_optional", "replace_dataset", "write_dataset",
+    "VersionedTable", "append_events", "dataset_path", "expire_publications", "file_system", "gather", "publish", "read_dataset",
+    "read_manifests", "read_optional", "read_published", "replace_dataset", "write_dataset",
 ]
 
 Check = Callable[[DataFrame], None]
@@ -86,7 +87,8 @@ def replace_dataset(
 ) -> None:
     """Stage, read back, validate, swap. On any failure the old data stays in place.
 
-    Needs a file system with rename; one writer per dataset.
+    Needs a file system with rename; one writer per dataset. Between its two renames a reader finds no data: readers that
+    run beside writers use :func:`publish` and :func:`read_published`.
     """
     spark, mark = df.sparkSession, uuid.uuid4().hex
     staged, old = f"{path}__staging_{mark}", f"{path}__old_{mark}"
@@ -118,18 +120,64 @@ def _manifest_path(root: str, dataset: str) -> str:
     return f"{root.rstrip('/')}/_metadata/datasets/{dataset}"
 
 
+def _claim(spark: SparkSession, root: str, dataset: str) -> int:
+    """A publication number of a dataset, above all taken ones; consecutive where writers do not meet.
+
+    A writer leaves a mark of its own under the number and has it when the folder then lists no other mark there. Of two that
+    meet at most one sees none, and those that see another go on to a higher number: this asks of the file system no more than
+    that a written file is listed.
+    """
+    folder, own = f"{root.rstrip('/')}/_metadata/publications/{dataset}", uuid.uuid4().hex
+    fs, hadoop_path = file_system(spark, folder)
+
+    def marks() -> list[tuple[int, str]]:
+        if not fs.exists(hadoop_path(folder)):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(hadoop_path(folder))]
+        return [(int(n), mark) for n, mark in (name.split("-") for name in names)]
+
+    step = 1
+    while True:
+        number = max((n for n, _ in marks()), default=0) + step
+        fs.create(hadoop_path(f"{folder}/{number:012d}-{own}"), True).close()
+        if [mark for n, mark in marks() if n == number] == [own]:
+            return number
+        step = random.randint(1, 8)
+
+
 def publish(
     df: DataFrame, root: str, dataset: str, partition: Mapping[str, str], now: datetime,
-    inputs: DataFrame | None = None, validate: Check | None = None,
+    inputs: DataFrame | None = None, validate: Check | None = None, order_by: Sequence[str] = (),
 ) -> DataFrame:
-    """Replace a partition's data, then record its manifest: READY comes last.
+    """Write a partition's data beside what is there, then record its manifest: READY comes last.
 
-    Each publication appends one immutable manifest row, so a failed run leaves the
-    previous READY row the current one. ``inputs`` are the manifests the data was built from.
+    The data go to a folder named by the publication number, which only rises whatever the clock says, and each publication
+    appends one immutable manifest row. Readers (:func:`read_published`) follow the manifests, so they see the data before or
+    the data after and never none; of a run that fails nothing is left but its number. Superseded folders stay until
+    :func:`expire_publications`. ``inputs`` are the manifests the data was built from. The manifests of the dataset come back.
     """
-    spark, path = df.sparkSession, dataset_path(root, dataset, partition)
-    replace_dataset(df, path, validate=validate)
-    stored = read_dataset(spark, path)
+    spark, base = df.sparkSession, dataset_path(root, dataset, partition)
+    number = _claim(spark, root, dataset)
+    path = f"{base}/publication={number}"
+    try:
+        write_dataset(df, path, order_by=order_by)
+        stored = read_dataset(spark, path)
+        if validate is not None:
+            validate(stored)
+        _record(stored, root, dataset, partition, number, now, inputs)
+    except BaseException:
+        fs, hadoop_path = file_system(spark, path)
+        fs.delete(hadoop_path(path), True)
+        raise
+    return read_manifests(spark, root, dataset)
+
+
+def _record(
+    stored: DataFrame, root: str, dataset: str, partition: Mapping[str, str], number: int, now: datetime, inputs: DataFrame | None,
+) -> None:
+    """Append the READY manifest of one publication."""
+    spark, base = stored.sparkSession, dataset_path(root, dataset, partition)
+    path = f"{base}/publication={number}"
     part = F.create_map(*[F.lit(x) for kv in sorted(partition.items()) for x in kv]) if partition else F.create_map().cast("map<string,string>")
     stats = gov.dataset_stats(stored).withColumn("dataset", F.lit(dataset))
     shape = stats.groupBy("dataset").agg(
@@ -149,20 +197,60 @@ def publish(
     versions = gov.data_versions(head, objects)
     row = head.withColumn("pk", gov.partition_key(F.col("partition"))).join(versions, ["dataset", "pk"]).select(
         F.lit(1).alias("version"), "dataset", "partition", F.lit("READY").alias("status"),
-        F.lit("/".join(path.split("/")[len(root.rstrip("/").split("/")):])).alias("path"), F.col("data_version").alias("dataVersion"),
+        F.lit("/".join(base.split("/")[len(root.rstrip("/").split("/")):])).alias("path"), F.col("data_version").alias("dataVersion"),
         F.col("object_count").cast("bigint").alias("objectCount"), "totalBytes", "rowCount", "columnCount", "columns",
         F.lit(1).alias("schemaVersion"), F.col("schema_hash").alias("schemaHash"),
         F.lit(now.strftime("%Y-%m-%dT%H:%M:%SZ")).alias("generatedAt"), "minTimestamp", "maxTimestamp", "inputs",
-        F.lit(None).cast("string").alias("sourceExecutionId"),
+        F.lit(None).cast("string").alias("sourceExecutionId"), F.lit(number).cast("bigint").alias("publication"),
     )
     row.to(MANIFEST).coalesce(1).write.mode("append").json(_manifest_path(root, dataset))
-    return read_manifests(spark, root, dataset)
 
 
 def read_manifests(spark: SparkSession, root: str, dataset: str) -> DataFrame:
     return spark.read.schema(MANIFEST).json(_manifest_path(root, dataset))
 
 
+def read_published(spark: SparkSession, root: str, dataset: str, members: Sequence[Mapping[str, str]] | None = None) -> DataFrame:
+    """The current publications of a dataset, or of some partitions, in one scan, with the partition's columns as text and
+    ``publication``. A member without a READY publication is an error. The driver reads one path per partition."""
+    current = gov.latest_ready(read_manifests(spark, root, dataset))
+    held = {r.pk: r for r in current.select("pk", "path", "partition", "publication").collect()}
+    if members is not None:
+        wanted = {",".join(sorted(f"{k}={v}" for k, v in m.items())): dataset_path(root, dataset, m) for m in members}
+        by_path = {f"{root.rstrip('/')}/{r.path}": r for r in held.values()}
+        missing = sorted(k for k, path in wanted.items() if path not in by_path)
+        if missing:
+            raise ValueError(f"{dataset} has no READY publication of {missing}")
+        rows = [by_path[path] for path in wanted.values()]
+    else:
+        rows = list(held.values())
+    if not rows:
+        raise ValueError(f"{dataset} has no READY publication")
+    top = root.rstrip("/")
+    paths = sorted(f"{top}/{r.path}/publication={r.publication}" for r in rows)
+    schema = read_dataset(spark, paths[0]).schema
+    keys = sorted({k for r in rows for k in (r.partition or {})})
+    schema = StructType([f for f in schema.fields if f.name not in [*keys, "publication"]])
+    for key in keys:
+        schema = schema.add(key, "string")
+    reader = spark.read.option("ignoreCorruptFiles", "false").option("ignoreMissingFiles", "false")
+    return reader.option("basePath", dataset_path(root, dataset)).schema(schema.add("publication", "long")).parquet(*paths)
+
+
+def expire_publications(spark: SparkSession, root: str, dataset: str, before: datetime) -> int:
+    """Delete the data of publications that a newer READY one replaced before ``before``; the number of folders deleted.
+
+    Manifests stay. ``before`` has to lie further back than the longest read takes.
+    """
+    ready = read_manifests(spark, root, dataset).where("status = 'READY'").withColumn("pk", gov.partition_key(F.col("partition")))
+    following = F.lead("generatedAt").over(W.partitionBy("pk").orderBy("publication"))
+    old = ready.withColumn("_next", following).where(F.col("_next") < before.strftime("%Y-%m-%dT%H:%M:%SZ")).select("path", "publication")
+    fs, hadoop_path = file_system(spark, root)
+    return sum(
+        bool(fs.delete(hadoop_path(f"{root.rstrip('/')}/{r.path}/publication={r.publication}"), True)) for r in old.toLocalIterator()
+    )
+
+
 def _nullable(schema: StructType) -> StructType:
     """The same schema with every field, element and value nullable, as files give it back."""
     text = schema.json()

@@ -90,3 +90,55 @@ def test_versioned_table_is_idempotent(spark, folder):
 def test_events_round_trip(spark, folder):
     ds.append_events(spark.createDataFrame([("HOSE", '{"a":1}')], "key string, value string"), f"{folder}/e")
     assert spark.read.json(f"{folder}/e").first().key == "HOSE"
+
+
+def test_publications_are_numbered_and_never_absent(spark, folder):
+    part, other = {"exchange": "hose", "code": "007"}, {"exchange": "hose", "code": "8"}
+    ds.publish(spark.range(3), folder, "eod", part, NOW)
+    seen = []
+
+    def look_then_refuse(df):
+        seen.append(ds.read_published(spark, folder, "eod", [part]).count())
+        raise ValueError("no")
+
+    with pytest.raises(ValueError):
+        ds.publish(spark.range(5), folder, "eod", part, NOW, validate=look_then_refuse)
+    assert seen == [3] and not os.path.exists(f"{folder}/eod/exchange=hose/code=007/publication=2")
+    ds.publish(spark.range(7), folder, "eod", part, NOW, validate=lambda df: seen.append(ds.read_published(spark, folder, "eod", [part]).count()))
+    assert seen == [3, 3]
+    # the clock goes back: the number decides
+    ds.publish(spark.range(9), folder, "eod", part, NOW - dt.timedelta(days=1))
+    ds.publish(spark.range(2).selectExpr("id", "'data' as code"), folder, "eod", other, NOW)
+    got = ds.read_published(spark, folder, "eod")
+    assert sorted((r.code, r.publication, r["count"]) for r in got.groupBy("code", "publication").count().collect()) == [("007", 4, 9), ("8", 5, 2)]
+    assert ds.read_published(spark, folder, "eod", [other]).select("code").distinct().first().code == "8"
+    with pytest.raises(ValueError):
+        ds.read_published(spark, folder, "eod", [part, {"exchange": "hose", "code": "9"}])
+    # publication 3 was replaced by one whose clock is earlier, publication 1 at NOW
+    assert ds.expire_publications(spark, folder, "eod", NOW + dt.timedelta(seconds=1)) == 2
+    assert ds.read_published(spark, folder, "eod").count() == 11
+    assert ds.expire_publications(spark, folder, "eod", NOW - dt.timedelta(days=2)) == 0
+
+
+def test_publication_numbers_are_taken_once(spark, folder):
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(4) as pool:
+        taken = list(pool.map(lambda _: ds._claim(spark, folder, "eod"), range(12)))
+    assert len(set(taken)) == 12 and ds._claim(spark, folder, "eod") > max(taken)
+    assert [ds._claim(spark, folder, "other") for _ in range(3)] == [1, 2, 3]
+
+
+def test_history_files_are_in_canonical_order(spark, folder):
+    from marketlake.operators import history
+
+    rows = spark.range(500).selectExpr(
+        "if(id % 2 = 0, 'S1', 'S2') strategy", "'1d' timeframe", "if(id % 3 = 0, 'A', 'B') exchange", "concat('K', id % 7) symbol_key",
+        "date_add(date'2024-01-01', cast((id * 37) % 100 as int)) signal_date",
+    )
+    ds.write_dataset(rows, f"{folder}/h", partition_by=["exchange"], order_by=history.CANONICAL_ORDER)
+    by_file = spark.read.parquet(f"{folder}/h").select(F.input_file_name().alias("file"), *history.CANONICAL_ORDER).collect()
+    files = {}
+    for r in by_file:
+        files.setdefault(r.file, []).append(tuple(r)[1:])
+    assert len(files) >= 2 and all(rows == sorted(rows) for rows in files.values())
