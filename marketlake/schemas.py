@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, types as T
 
-__all__ = ["COMMAND", "EOD", "JOB_STATUS", "MANIFEST", "SECTOR_FEATURES", "SIGNAL_HISTORY", "conform"]
+__all__ = ["COMMAND", "EOD", "JOB_STATUS", "MANIFEST", "PUBLICATION", "SECTOR_FEATURES", "SIGNAL_HISTORY", "conform"]
 
 _SIMPLE = {
     "string": T.StringType(), "double": T.DoubleType(), "bigint": T.LongType(), "int": T.IntegerType(),
@@ -68,8 +68,10 @@ MANIFEST = _struct(
     dataVersion="string", objectCount="bigint", totalBytes="bigint", rowCount="bigint",
     columnCount="bigint", columns=T.ArrayType(_COLUMN), schemaVersion="int", schemaHash="string",
     generatedAt="string", minTimestamp="string", maxTimestamp="string", inputs=T.ArrayType(_INPUT),
-    sourceExecutionId="string", publication="bigint",
+    sourceExecutionId="string",
 )
+#: Manifests as this library records them: with the number that orders publications.
+PUBLICATION = T.StructType([*MANIFEST.fields, T.StructField("publication", T.LongType())])
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import StructType
 
 from marketlake.operators import governance as gov
-from marketlake.schemas import MANIFEST
+from marketlake.schemas import PUBLICATION
 
 __all__ = [
     "VersionedTable", "append_events", "dataset_path", "expire_publications", "file_system", "gather", "publish", "read_dataset",
@@ -203,11 +203,11 @@ def _record(
         F.lit(now.strftime("%Y-%m-%dT%H:%M:%SZ")).alias("generatedAt"), "minTimestamp", "maxTimestamp", "inputs",
         F.lit(None).cast("string").alias("sourceExecutionId"), F.lit(number).cast("bigint").alias("publication"),
     )
-    row.to(MANIFEST).coalesce(1).write.mode("append").json(_manifest_path(root, dataset))
+    row.to(PUBLICATION).coalesce(1).write.mode("append").json(_manifest_path(root, dataset))
 
 
 def read_manifests(spark: SparkSession, root: str, dataset: str) -> DataFrame:
-    return spark.read.schema(MANIFEST).json(_manifest_path(root, dataset))
+    return spark.read.schema(PUBLICATION).json(_manifest_path(root, dataset))
 
 
 def read_published(spark: SparkSession, root: str, dataset: str, members: Sequence[Mapping[str, str]] | None = None) -> DataFrame:
