@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from marketlake.operators import history as hist, signals
+from marketlake.operators import history as hist, indicators, signals
 
 D0 = dt.date(2026, 1, 1)
 NOW = dt.datetime(2026, 6, 1)
@@ -39,6 +39,23 @@ def test_equal_reasons(spark):
     assert row.reason_codes == ["PRICE_EQUALS_MA50", "MA20_EQUALS_MA50", "RSI14_NEUTRAL", "MACD_EQUALS_SIGNAL", "SCORE_0"]
 
 
+#: Ten closes, the last one their mean: over and over, MA20, MA50 and every tenth close are one value.
+TEN = [1073.74, 1014.3, 1021.47, 1089.84, 1041.21, 1010.07, 1034.14, 1070.57, 1055.33, 1045.63]
+
+
+def tied_bars(spark):
+    assert sum(round(c * 100) for c in TEN) == 10 * round(100 * TEN[-1])
+    rows = [("X", "A", day(i), c, 1.0) for i, c in enumerate(TEN * 6)]
+    return spark.createDataFrame(rows, "exchange string, code string, date date, ad_close double, nm_volume double")
+
+
+def test_equal_means_of_two_windows_are_equal(spark):
+    bars = tied_bars(spark).withColumn("symbol_key", F.lit("X-A"))
+    table = indicators.indicators(bars, ["MA20", "MA50", "RSI14", "MACD"], keys=("symbol_key",), keep=["ad_close"])
+    got = signals.score_rows(table).where(F.col("signal_date") == day(59)).first()
+    assert got.reason_codes[:2] == ["PRICE_EQUALS_MA50", "MA20_EQUALS_MA50"]
+
+
 def test_no_decision_cases(spark):
     eod, ind = inputs(spark, rsi=None)
     row = signals.latest_signals(eod, ind).first()
