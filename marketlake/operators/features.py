@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from marketlake.functions.numeric import gated_avg, safe_div
+from marketlake.functions.numeric import gated_avg, is_above, safe_div
 from marketlake.functions.text import join_symbol_key
 from marketlake.operators.normalize import normalize_eod
 
@@ -41,7 +41,7 @@ def symbol_features(eod: DataFrame, strict_ready: bool = False) -> DataFrame:
             },
         }
     )
-    above = close > F.col("ma20")
+    above = is_above(close, "ma20")
     return out.select(
         "date",
         join_symbol_key(F.col("exchange"), F.col("symbol")).alias("symbol_key"),

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from marketlake.operators import history as hist, indicators, signals
+from marketlake.operators import features, history as hist, indicators, signals
 
 D0 = dt.date(2026, 1, 1)
 NOW = dt.datetime(2026, 6, 1)
@@ -132,3 +132,9 @@ def test_same_day_rerun_compares_with_its_own_row(spark):
     assert row.previous_signal == "BULLISH" and row.signal_changed is False
     first = hist.signal_transitions(old.where("1 = 0"), record(spark, [("X-A", day(1), "BULLISH", 1.0)])).first()
     assert first.previous_signal is None and first.signal_changed is False
+
+
+def test_a_close_equal_to_its_mean_is_not_above_it(spark):
+    ends = [day(i) for i in range(29, 60, 10)]
+    rows = features.symbol_features(tied_bars(spark)).where(F.col("date").isin(ends))
+    assert [r.above_ma20 for r in rows.collect()] == [False] * 4
