@@ -1,12 +1,15 @@
 import datetime as dt
 import os
+import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from marketlake import session
 from marketlake.operators import governance as gov
 from marketlake.schemas import SIGNAL_HISTORY, conform
-from marketlake.sources import datasets as ds
+from marketlake.sources import datasets as ds, fixtures
 
 NOW = dt.datetime(2026, 1, 1)
 
@@ -142,3 +145,21 @@ def test_history_files_are_in_canonical_order(spark, folder):
     for r in by_file:
         files.setdefault(r.file, []).append(tuple(r)[1:])
     assert len(files) >= 2 and all(rows == sorted(rows) for rows in files.values())
+
+
+def test_shuffles_grow_with_the_table(spark, monkeypatch):
+    """Twelve or so partitions for a table of as many parts, and a smaller table does not lower them."""
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    monkeypatch.setattr(session, "TABLE_BYTES", 10_000)
+    before = spark.conf.get(key, None)
+    spark.conf.unset(key)
+    try:
+        plan = fixtures.eod(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        parts = -(-Path("/root/testdata/sf0.001/lineitem.parquet").stat().st_size // 10_000)
+        assert parts > 4 and f", {parts})" in re.search(r"hashpartitioning\(.*", plan).group()
+        fixtures.load(spark, "/root/testdata/sf0.001", "nation")
+        assert int(spark.conf.get(key)) == parts
+    finally:
+        spark.conf.unset(key)
+        if before is not None:
+            spark.conf.set(key, before)
