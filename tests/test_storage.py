@@ -163,3 +163,20 @@ def test_shuffles_grow_with_the_table(spark, monkeypatch):
         spark.conf.unset(key)
         if before is not None:
             spark.conf.set(key, before)
+
+
+def test_scans_are_split_by_size(spark, monkeypatch):
+    """A task reads a bounded part of a table, also of a large one; a session's own bound stays."""
+    key = "spark.sql.files.maxPartitionBytes"
+    size = Path("/root/testdata/sf0.001/lineitem.parquet").stat().st_size
+    monkeypatch.setattr(session, "SPLIT_BYTES", "20000", raising=False)
+    before = spark.conf.get(key, None)
+    spark.conf.unset(key)
+    try:
+        assert fixtures.load(spark, "/root/testdata/sf0.001", "lineitem").rdd.getNumPartitions() == -(-size // 20_000) > 1
+        spark.conf.set(key, "50000")
+        assert fixtures.load(spark, "/root/testdata/sf0.001", "lineitem").rdd.getNumPartitions() == -(-size // 50_000)
+    finally:
+        spark.conf.unset(key)
+        if before is not None:
+            spark.conf.set(key, before)
