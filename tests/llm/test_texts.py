@@ -4,12 +4,14 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import public_tokenizers
 import tiktoken
 from pyspark.sql import functions as F
 
 from marketlake.llm import bpe, imatch, mixing
+from marketlake.llm.common import stored_alone
 
 VOCABULARY = bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -168,3 +170,30 @@ def test_mixing_odd_rows(odd, empty):
     assert dict(numbered.dtypes)["copy"] == "int" and len(numbered.columns) == len(odd.columns)
     assert mixing.mixed(empty).count() == 0
     assert re.fullmatch("[0-9a-f]{32}", numbered.first()["shuffle_key"])
+
+
+def _shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_no_shuffle_files_stay_behind_a_stored_table(spark, docs):
+    before, setting = _shuffle_files(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(setting, None)
+    table = stored_alone(imatch.frequencies(docs))
+    end = time.time() + 20
+    while (left := _shuffle_files(spark) - before) and time.time() < end:
+        time.sleep(0.2)
+    assert not left and spark.conf.get(setting, None) == was
+    assert table.agg(F.sum("df")).first()[0] > 0  # the written table does not need them
+
+
+def test_terms_of_an_edit_are_those_of_both_texts():
+    texts = ["", "a", "one two three four", "  lead  and trail ", "ONE\ttwo\vthree\ffour\rfive\nsix", "nowordbreakatallinthistext", "é😀 ça va é😀 bien", "x " * 40, "\ud800 alone a b c"]
+    for text in texts:
+        for following in texts:
+            changed = imatch.edited(text, following)
+            plain, other = (t.encode("utf-8", "surrogatepass") for t in (text, changed))
+            same = len(text[: len(text) - len(text) // 4].encode("utf-8", "surrogatepass"))
+            found, end, start = imatch._both_terms(plain, other, same, {})
+            assert sorted(found[:end]) == sorted(imatch._terms(plain, {})) and sorted(found[start:]) == sorted(imatch._terms(other, {}))
