@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from marketlake.functions.ewm import decayed_sums
+from marketlake.functions.ewm import block_sums, decayed_sums, in_blocks, leave_blocks
 from marketlake.functions.numeric import gated_avg, rolling, safe_div
 from marketlake.operators.indicators import with_ema
 
@@ -63,23 +63,25 @@ def with_ranges(df: DataFrame, n: int = 14, keys: Sequence[str] = ("code",)) ->
     w = _w(keys)
     frame, typical = rolling(w, n), (F.col("ad_high") + F.col("ad_low") + F.col("ad_close")) / 3
     out = df.withColumns({"_i": F.row_number().over(w) - 1, "_tr": _true_range(w), "_tp": typical})
-    decay = 1.0 - 1.0 / n
-    out = decayed_sums(out, keys, "_i", {"_s": (F.coalesce("_tr", F.lit(0.0)), decay), "_c": (F.lit(1.0), decay)})
     high, low = F.max("ad_high").over(frame), F.min("ad_low").over(frame)
     full = F.count("ad_close").over(frame) >= n
     mean = F.avg("_tp").over(frame)
     deviation = F.aggregate(F.collect_list("_tp").over(frame), F.lit(0.0), lambda a, v: a + F.abs(v - F.col("_m"))) / n
     out = out.withColumns(
         {
-            "atr": F.when(F.col("_i") >= n - 1, safe_div("_s", "_c")),
             "stoch_k": F.when(full, safe_div((F.col("ad_close") - low) * 100, high - low)),
             "williams_r": F.when(full, safe_div((high - F.col("ad_close")) * -100, high - low)),
             "_m": F.when(full, mean),
         }
     )
-    return out.withColumns(
+    out = out.withColumns(
         {"stoch_d": gated_avg("stoch_k", w, 3), "cci": safe_div(F.col("_tp") - F.col("_m"), deviation * 0.015)}
-    ).drop("_i", "_tr", "_tp", "_s", "_c", "_m")
+    )
+    decay = 1.0 - 1.0 / n
+    out = decayed_sums(out, keys, "_i", {"_s": (F.coalesce("_tr", F.lit(0.0)), decay), "_c": (F.lit(1.0), decay)})
+    return out.withColumn("atr", F.when(F.col("_i") >= n - 1, safe_div("_s", "_c"))).drop(
+        "_i", "_tr", "_tp", "_s", "_c", "_m"
+    )
 
 
 def with_volume_measures(df: DataFrame, n: int = 14, keys: Sequence[str] = ("code",)) -> DataFrame:
@@ -123,11 +125,6 @@ def with_directional(df: DataFrame, n: int = 14, keys: Sequence[str] = ("code",)
             "_q": F.coalesce(F.when((down > up) & (down > 0), down), F.lit(0.0)),
         }
     )
-    out = decayed_sums(out, keys, "_i", {"_sp": (F.col("_p"), decay), "_sq": (F.col("_q"), decay)})
-    dx = safe_div(F.abs(F.col("_sp") - F.col("_sq")) * 100, F.col("_sp") + F.col("_sq"))
-    out = out.withColumn("_dx", F.when(F.col("_i") >= n, dx))
-    out = decayed_sums(out, keys, "_i", {
-        "_sd": (F.coalesce("_dx", F.lit(0.0)), decay), "_sn": (F.col("_dx").isNotNull().cast("double"), decay)})
     frame = w.rowsBetween(-aroon, 0)
     full = F.count("ad_high").over(frame) > aroon
 
@@ -135,10 +132,15 @@ def with_directional(df: DataFrame, n: int = 14, keys: Sequence[str] = ("code",)
         at = extreme.over(frame)
         return F.when(full, (F.lit(aroon) - (F.col("_i") - at)) * 100.0 / aroon)
 
-    return out.withColumns(
+    out = out.withColumns(
         {
-            "adx": F.when(F.col("_i") >= 2 * n - 1, safe_div("_sd", "_sn")),
             "aroon_up": since(F.max_by("_i", F.struct("ad_high", "_i"))),
             "aroon_down": since(F.max_by("_i", F.struct(-F.col("ad_low"), F.col("_i")))),
         }
-    ).drop("_i", "_p", "_q", "_sp", "_sq", "_dx", "_sd", "_sn")
+    )
+    out = block_sums(in_blocks(out, "_i"), keys, "_i", {"_sp": (F.col("_p"), decay), "_sq": (F.col("_q"), decay)})
+    dx = safe_div(F.abs(F.col("_sp") - F.col("_sq")) * 100, F.col("_sp") + F.col("_sq"))
+    out = out.withColumn("_dx", F.when(F.col("_i") >= n, dx))
+    out = block_sums(out, keys, "_i", {
+        "_sd": (F.coalesce("_dx", F.lit(0.0)), decay), "_sn": (F.col("_dx").isNotNull().cast("double"), decay)})
+    return leave_blocks(out).withColumn("adx", F.when(F.col("_i") >= 2 * n - 1, safe_div("_sd", "_sn"))).drop("_i", "_p", "_q", "_sp", "_sq", "_dx", "_sd", "_sn")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketlake.functions.ewm import BLOCK, decayed_sums
-from marketlake.operators import indicators as ind
+from marketlake.operators import indicators as ind, oscillators as osc
 
 
 def bars(spark, n, code="A", start=dt.date(2020, 1, 1)):
@@ -101,3 +101,12 @@ def test_null_source_rows_stay_out_of_the_series(spark):
 def test_flat_series_has_no_rsi(spark):
     df = bars(spark, 30).withColumn("ad_close", F.lit(5.0))
     assert set(values(ind.with_rsi(df, "ad_close"), "rsi14")) == {None}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("measure", [osc.with_ranges, osc.with_directional])
+def test_oscillators_sort_a_series_twice(spark, measure):
+    assert plan_of(measure(bars(spark, 60))).count(" Sort [") == 2
