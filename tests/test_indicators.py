@@ -107,6 +107,26 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("names", [["MACD"], ["MA20", "MA50", "RSI14", "MACD"], ["RSI14", "MACD", "MA20", "ICHIMOKU"]])
+def test_indicators_sort_a_series_twice(spark, names):
+    """Each sort of a stage adds to what its tasks hold: one by date, one by block for all decayed sums."""
+    assert plan_of(ind.indicators(bars(spark, 60), names)).count(" Sort [") == 2
+
+
 @pytest.mark.parametrize("measure", [osc.with_ranges, osc.with_directional])
 def test_oscillators_sort_a_series_twice(spark, measure):
     assert plan_of(measure(bars(spark, 60))).count(" Sort [") == 2
+
+
+def test_macd_alone_and_beside_others_with_gaps(spark):
+    """Rows without a value stay out of the sums, over several blocks, whatever else is asked for."""
+    df = bars(spark, 700).withColumn("ad_close", F.when(F.dayofmonth("date") % 7 != 5, F.col("ad_close") % 97 + 50))
+    both = ind.indicators(df, ["RSI14", "MACD", "MA20"]).orderBy("date").toPandas()
+    alone = ind.with_macd(df, "ad_close").orderBy("date").toPandas()
+    kept = alone["ad_close"].notna()
+    series = ind.with_macd(df.dropna(subset=["ad_close"]), "ad_close").orderBy("date").toPandas()
+    for c in ("macd", "macd_signal", "macd_hist"):
+        assert alone[c].equals(both[c]) and alone.loc[~kept, c].isna().all()
+        assert np.allclose(alone.loc[kept, c].to_numpy(float), series[c].to_numpy(float), rtol=1e-12, equal_nan=True)
+    rsi = ind.with_rsi(df, "ad_close").orderBy("date").toPandas()["rsi14"]
+    assert rsi.equals(both["rsi14"]) and rsi.notna().sum() == kept.sum() - 14
