@@ -67,6 +67,19 @@ def test_no_decision_cases(spark):
     assert rows["X-B"].reason_codes == ["NO_OVERLAPPING_EOD_INDICATOR_DATES"]
 
 
+def test_listed_symbols_cost_no_second_pass(spark):
+    """The signals are computed once, also where symbols without one get a row; a symbol that is not listed keeps its own."""
+    eod, ind = inputs(spark)
+    listed = spark.createDataFrame([("X-B",), ("X-B",), (None,)], "symbol_key string")
+    both = signals.latest_signals(eod, ind, listed)
+    windows = [df._jdf.queryExecution().optimizedPlan().toString().count("Window [") for df in (signals.latest_signals(eod, ind), both)]
+    assert windows[0] == windows[1] > 0
+    rows = {r.symbol_key: r for r in both.collect()}
+    assert both.count() == 3 and rows["X-A"].signal != "NO_DECISION" and rows["X-A"].reason_codes[-1].startswith("SCORE_")
+    for key in ("X-B", None):
+        assert (rows[key].signal, rows[key].score, rows[key].signal_date, rows[key].signal_price) == ("NO_DECISION", 0, None, None)
+
+
 def record(spark, rows):
     base = spark.createDataFrame(rows, "symbol_key string, signal_date date, signal string, signal_price double")
     return base.withColumns({"exchange": F.lit("X"), "strategy": F.lit("S"), "timeframe": F.lit("1d"), "score": F.lit(0)})
