@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from marketlake.functions.keyed import keep_last
-from marketlake.operators import commands
+from marketlake.operators import commands, signals
 from marketlake.plans import job_queries, signal_queries
 from marketlake.plans.ctes import with_ctes
 from marketlake.plans.registry import query, rnd
+from marketlake.session import fit_shuffles
 from marketlake.sources import fixtures
-from marketlake.streaming import jobs, ledger, ordered, runs, ticks
+from marketlake.streaming import jobs, ledger, runs, ticks
 
 
 @query("status_stream", with_ctes("""
@@ -68,14 +71,17 @@ def parent_stream(spark, sf_dir):
 SELECT symbol_key, signal_date, previous_signal, signal new_signal FROM (
   SELECT *, lag(signal) OVER (PARTITION BY symbol_key ORDER BY signal_date) previous_signal FROM deciding) WHERE previous_signal <> signal""", "deciding"))
 def signal_change_stream(spark, sf_dir):
-    """Scored rows in eight shuffled files, one a batch, and at the end a row that moves the watermark past them."""
+    """Scored rows in eight shuffled parts, one a batch, and at the end a row that moves time past them.
+
+    A part has as many files as the trades ask for, so that neither its writing nor its reading is the work of one task.
+    """
     rows = signal_queries.scored(spark, sf_dir).select("symbol_key", "strategy", "timeframe", "signal_date", "signal")
-    folder = f"{runs.new_folder(spark)}/in"
-    rows.repartition(8, F.xxhash64("symbol_key", "signal_date")).write.parquet(folder)
-    closing = rows.limit(1).select(F.lit("-").alias("symbol_key"), "strategy", "timeframe", F.lit("2200-01-01").cast("date").alias("signal_date"), F.lit("NO_DECISION").alias("signal"))
-    closing.coalesce(1).write.mode("append").parquet(folder)
-    changes = ordered.ordered_signal_changes(runs.folder_stream(spark, folder, rows.schema, 1), "20000 days")
-    return runs.drained(changes).select("symbol_key", "signal_date", "previous_signal", "new_signal")
+    base, files = runs.new_folder(spark), max(1, -(-fit_shuffles(spark, f"{sf_dir}/lineitem.parquet") // 8))
+    rows.repartition(8 * files, F.xxhash64("symbol_key", "signal_date")).write.parquet(f"{base}/in")
+    closing = [("-", signals.STRATEGY, "1d", date(2200, 1, 1), "NO_DECISION")]
+    spark.createDataFrame(closing, rows.schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    runs.run_batches(runs.folder_stream(spark, f"{base}/in", rows.schema, files), ledger.signal_change_batches(f"{base}/out", 20000), f"{base}/progress")
+    return ledger.signal_changes(spark, f"{base}/out").select("symbol_key", "signal_date", "previous_signal", "new_signal")
 
 
 _KINDS_SQL = ", ".join(f"'{k}'" for k in commands.KINDS)

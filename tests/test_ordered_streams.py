@@ -5,6 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
+from marketlake import session
+from marketlake.plans.catalog import QUERIES
 from marketlake.streaming import ledger, ordered, runs
 
 CHANGES = "symbol_key string, strategy string, timeframe string, signal_date date, signal string"
@@ -82,3 +84,46 @@ def test_cooldown_batches_carry_anchors(spark, folder):
     ledger.cooldown_batches(out, 10)(frames[2], 2)
     got = {(r.dedup_key, r.event_id, r.delivered_suppressed) for r in ledger.written(spark, out, "retained", "dedup_key string, event_id long, delivered_suppressed long").collect()}
     assert got == {("a", 1, 0), ("b", 3, 0), ("a", 4, 1), ("a", 7, 1)}
+
+
+def _told_changes(rows):
+    want = set()
+    for key in {r[0] for r in rows}:
+        told = sorted((d, s) for k, _, _, d, s in rows if k == key and s != "NO_DECISION")
+        want |= {(key, b[0], a[1], b[1]) for a, b in zip(told, told[1:]) if a[1] != b[1]}
+    return want
+
+
+def test_batches_of_signals_in_date_order_whatever_order_rows_come_in(spark, folder):
+    rng = random.Random(3)
+    rows = [(f"k{k}", "S", "1d", _day(n), rng.choice(["BULLISH", "BEARISH", "NEUTRAL", "NO_DECISION"])) for k in range(5) for n in range(90)]
+    rows = [r for r in rows if not (r[0] == "k4" and r[3] > _day(30))]  # a series that ends keeps its last signal
+    near = sorted(rows, key=lambda r: (r[3].toordinal() + rng.randrange(8), r))  # up to seven days out of order
+    parts = [near[k * 40 : k * 40 + 40] for k in range(10)]
+    parts[6] += [(k, a, b, _day(2), "BULLISH") for k, a, b, _, _ in parts[6][:3]]  # passed: dropped
+    repeated = next(r for r in parts[9] if r[4] == "BULLISH")
+    parts[9].append((*repeated[:4], "BEARISH"))  # of rows that repeat a day the last by name counts
+    parts.append([("k4", "S", "1d", _day(100), "BULLISH"), ("-", "S", "1d", _day(200), "NO_DECISION")])
+    rows.append(parts[10][0])
+    frames = [spark.createDataFrame(p, CHANGES) for p in parts]
+    out = runs.fed_in_parts(frames, lambda root: ledger.signal_change_batches(root, 8))
+    early = ledger.signal_changes(spark, out).where("batch < 9").count()
+    ledger.signal_change_batches(out, 8)(frames[10], 10)  # the same batch again
+    got = [(r.symbol_key, r.signal_date, r.previous_signal, r.new_signal) for r in ledger.signal_changes(spark, out).collect()]
+    assert early > 0 and sorted(got) == sorted(_told_changes(rows))
+    kept = {r.batch for r in ledger.written(spark, out, "held", ledger._HELD).select("batch").distinct().collect()}
+    assert kept and min(kept) >= 7  # what all of its days passed is gone
+
+
+def test_a_part_of_the_change_stream_is_not_one_file(spark, monkeypatch):
+    initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before, asked = spark.conf.get(initial, None), []
+    monkeypatch.setattr(session, "TABLE_BYTES", 1 << 12)
+    folder_stream = runs.folder_stream
+    monkeypatch.setattr(runs, "folder_stream", lambda spark, path, schema, files: asked.append((path, files)) or folder_stream(spark, path, schema, files))
+    try:
+        assert QUERIES["signal_change_stream"](spark, "/root/testdata/sf0.001").count() > 0
+    finally:
+        spark.conf.unset(initial) if before is None else spark.conf.set(initial, before)
+    (path, files), = asked
+    assert files > 1 and spark.read.parquet(path).select("_metadata.file_path").distinct().count() > 8 * files
