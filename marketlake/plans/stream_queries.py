@@ -76,8 +76,9 @@ def signal_change_stream(spark, sf_dir):
     A part has as many files as the trades ask for, so that neither its writing nor its reading is the work of one task.
     """
     rows = signal_queries.scored(spark, sf_dir).select("symbol_key", "strategy", "timeframe", "signal_date", "signal")
-    base, files = runs.new_folder(spark), max(1, -(-fit_shuffles(spark, f"{sf_dir}/lineitem.parquet") // 8))
-    rows.repartition(8 * files, F.xxhash64("symbol_key", "signal_date")).write.parquet(f"{base}/in")
+    base, wanted = runs.new_folder(spark), fit_shuffles(spark, f"{sf_dir}/lineitem.parquet")
+    rows.repartition(max(8, wanted), F.xxhash64("symbol_key", "signal_date")).write.parquet(f"{base}/in")
+    files = -(-len(spark.read.schema(rows.schema).parquet(f"{base}/in").inputFiles()) // 8)
     closing = [("-", signals.STRATEGY, "1d", date(2200, 1, 1), "NO_DECISION")]
     spark.createDataFrame(closing, rows.schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
     runs.run_batches(runs.folder_stream(spark, f"{base}/in", rows.schema, files), ledger.signal_change_batches(f"{base}/out", 20000), f"{base}/progress")
